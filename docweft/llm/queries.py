@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import bpe, mixing, quality_classifier, quality_rules, simhash, topk, toxicity
+from docweft.llm import bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash, topk, toxicity
 from docweft.llm.common import in_training, is_held_out
 
 
@@ -36,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), k=1, min_chars=24)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, _ = quality_classifier.fit(docs)
@@ -64,10 +68,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_toxicity, op2_byte_bpe, op3_mixing, op6_quality_classifier, op7_token_counts, op8_quality_rules, op9_exact_top_k, op10_simhash,
+        op1_toxicity, op2_byte_bpe, op3_mixing, op4_line_dedup, op6_quality_classifier, op7_token_counts, op8_quality_rules, op9_exact_top_k, op10_simhash,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import bpe, line_dedup, mixing, quality_classifier, quality_rules, simhash, topk, toxicity
+from docweft.llm import bpe, line_dedup, lm, mixing, quality_classifier, quality_rules, simhash, topk, toxicity
 from docweft.llm.common import in_training, is_held_out
 
 
@@ -40,6 +40,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), k=1, min_chars=24)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), in_training(F.col("doc_id"), 7, 2))
+    held = is_held_out(F.col("doc_id"), 7, 2)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, _ = quality_classifier.fit(docs)
@@ -68,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_toxicity, op2_byte_bpe, op3_mixing, op4_line_dedup, op6_quality_classifier, op7_token_counts, op8_quality_rules, op9_exact_top_k, op10_simhash,
+        op1_toxicity, op2_byte_bpe, op3_mixing, op4_line_dedup, op5_lm_scoring, op6_quality_classifier, op7_token_counts, op8_quality_rules, op9_exact_top_k, op10_simhash,
     )
     return {f.__name__: f for f in found}
 

@@ -37,53 +37,88 @@ class Block:
                 arrays + [pa.array(c[at:stop]) for c in columns.values()], ["block", "number", "word", *columns]
             )
 
-    def column(self, table: pa.Table, name: str) -> np.ndarray:
-        """A fixed-width column of the word rows that came back, by number."""
-        rows = self._words_of(table)
-        return rows.column(name).combine_chunks().to_numpy(zero_copy_only=False)[self._sorted(rows)]
-
-    def ragged(self, table: pa.Table, name: str, unit: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A binary column of the word rows that came back: all values in one array, and by number their starts and sizes."""
-        rows = self._words_of(table)
-        column = rows.column(name).combine_chunks().cast(pa.large_binary())
-        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // unit.itemsize
-        flat = np.frombuffer(column.buffers()[2], unit, count=int(offsets[-1])) if len(column) and column.buffers()[2] else np.zeros(0, unit)
-        order = self._sorted(rows)
-        return flat, offsets[:-1][order], np.diff(offsets)[order]
-
-    def _words_of(self, table: pa.Table) -> pa.Table:
-        return table.filter(table.column("number").combine_chunks().is_valid())
-
-    def _sorted(self, rows: pa.Table) -> np.ndarray:
-        """The places of the words' rows by number; equal blocks send each word as often as there are such blocks."""
-        numbers = rows.column("number").combine_chunks().to_numpy(zero_copy_only=False)
+    def ragged(self, table: pa.Table, unit: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What came back for the words: all values in one array, and by number their starts and sizes in it.
+
+        Equal blocks get a word as often as there are such blocks; the first is taken.
+        """
+        replies = [open_reply(r.as_buffer()) for r in table.column("reply") if r.is_valid]
+        numbers = np.concatenate([r[0] for r in replies] or [np.zeros(0, np.int32)])
+        sizes = np.concatenate([r[1] for r in replies] or [np.zeros(0, np.int64)]).astype(np.int64)
+        flat = np.concatenate([np.frombuffer(r[2], unit) for r in replies] or [np.zeros(0, unit)])
         distinct, order = np.unique(numbers, return_index=True)
         if len(distinct) != self.n_words or len(numbers) % max(1, self.n_words):
             raise ValueError(f"block {self.name}: {len(distinct)} of {self.n_words} words came back; the input changed between two reads")
-        return order
-
-
-def cut(
-    batches: Iterator[pa.RecordBatch], start: Callable, block_bytes: int
-) -> Iterator[Block]:
-    """Blocks of about block_bytes of text from batches of (key, text).
+        sizes //= unit.itemsize
+        return flat, (np.cumsum(sizes) - sizes)[order], sizes[order]
+
+
+class Replies:
+    """What a task has for the words of each block, sent as one compressed row a block: (block, reply, null)."""
+
+    def __init__(self, rows: int = 400_000):
+        self.rows, self.held, self.parts = rows, 0, []
+
+    def add(self, blocks: pa.Array, numbers: pa.Array, values: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.parts.append(pa.table({"block": blocks, "number": numbers, "value": values}))
+        self.held += len(blocks)
+        if self.held >= self.rows:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        table = pa.concat_tables(self.parts).combine_chunks().sort_by([("block", "ascending"), ("number", "ascending")])
+        self.parts, self.held = [], 0
+        names, starts = np.unique(table.column("block").to_numpy(), return_index=True)
+        ends = np.append(starts[1:], table.num_rows)
+        replies = []
+        for a, b in zip(starts, ends, strict=True):
+            part = table.slice(a, b - a)
+            values = pa.concat_arrays(part.column("value").chunks)
+            offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+            data = values.buffers()[2]
+            body = data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data else b""
+            numbers = np.diff(part.column("number").to_numpy(), prepend=0).astype("<i4")
+            raw = np.array([len(numbers)], "<i8").tobytes() + numbers.tobytes() + np.diff(offsets).astype("<i4").tobytes() + body
+            replies.append(np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(replies, pa.binary()), pa.nulls(len(names), pa.binary())], ["block", "reply", "body"])
+
+
+def open_reply(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Numbers, sizes in bytes, and the values' bytes, of one reply."""
+    raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], "<i8")[0]), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.cumsum(np.frombuffer(raw, "<i4", n, 8), dtype=np.int32), np.frombuffer(raw, "<i4", n, 8 + 4 * n), raw[8 + 8 * n :]
+
+
+def ragged_places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... for sizes[0] places, then the same from begins[1], and so on."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
+def cut(batches: Iterator[pa.RecordBatch], start: Callable, block_bytes: int, beside: tuple[str, ...] = ()) -> Iterator[Block]:
+    """Blocks of about block_bytes of text from batches of (key, text) and the columns `beside`, which go to extra.
 
+    start() gives a block's words (a dict from word to number that grows) and a function from a text to its numbers.
     A block is named by a hash of its keys and texts, so each pass over the same rows gives it the same name; blocks
     that are equal throughout share a name, and copies() says how many there are.
-    start() gives a block's words (a dict from word to number that grows) and a function from a text to its numbers.
     """
-    keys, counts, numbers, size, mark = [], [], [], 0, xxhash.xxh64()
     words, of = start()
+    keys, more, counts, numbers, size, mark = [], [], [], [], 0, xxhash.xxh64()
 
     def shut() -> Block:
-        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        flat = np.concatenate(numbers)
         used = np.bincount(flat, minlength=len(words))
         order = np.argsort(-used, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         names = list(words)
-        return Block(mark.intdigest() - (1 << 63), pa.concat_arrays(keys), np.array(counts, np.int64), place[flat], [names[i] for i in order], len(names), {})
+        extra = {c: pa.concat_arrays([m[i] for m in more]).to_numpy(zero_copy_only=False) for i, c in enumerate(beside)}
+        sizes = np.array(counts, np.int64)
+        return Block(mark.intdigest() - (1 << 63), pa.concat_arrays(keys), sizes, place[flat], [names[i] for i in order], len(names), extra)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -91,25 +126,27 @@ def cut(
             texts, names, first = piece.column("text").to_pylist(), piece.column("key").to_pylist(), 0
             for row, text in enumerate(texts):
                 got = of(text)
-                numbers.append(np.array(got, np.int32))
+                numbers.append(np.asarray(got, np.int32))
                 counts.append(len(got))
                 raw = text.encode()
                 mark.update(f"{names[row]} {len(raw)} ".encode() + raw)
                 size += len(raw)
+                last = row + 1 == len(texts)
+                if size >= block_bytes or last:
+                    part = piece.slice(first, row + 1 - first)
+                    keys.append(part.column("key"))
+                    more.append([part.column(c) for c in beside])
+                    first = row + 1
                 if size >= block_bytes:
-                    keys.append(piece.column("key").slice(first, row + 1 - first))
                     yield shut()
-                    first = row + 1
-                    keys, counts, numbers, size, mark = [], [], [], 0, xxhash.xxh64()
                     words, of = start()
-            if first < len(texts):
-                keys.append(piece.column("key").slice(first))
+                    keys, more, counts, numbers, size, mark = [], [], [], [], 0, xxhash.xxh64()
     if counts:
         yield shut()
 
 
 def shut_block(block: Block, **extra: np.ndarray) -> pa.RecordBatch:
-    """The block without its words as one row (block, null, null, body), compressed."""
+    """The block without its words as one row (block, null, body), compressed."""
     planes = block.numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
     parts = {"counts": pa.array(block.counts), **{f"plane{i}": pa.array(np.ascontiguousarray(planes[:, i])) for i in range(4)}}
     parts |= {k: pa.array(v) for k, v in extra.items()}
@@ -120,7 +157,7 @@ def shut_block(block: Block, **extra: np.ndarray) -> pa.RecordBatch:
             out.write_table(table)
     body = pa.array([sink.getvalue().to_pybytes()], pa.binary())
     name = pa.array([block.name], pa.int64())
-    return pa.RecordBatch.from_arrays([name, pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), body], ["block", "number", "ids", "body"])
+    return pa.RecordBatch.from_arrays([name, pa.nulls(1, pa.binary()), body], ["block", "reply", "body"])
 
 
 def copies(table: pa.Table) -> int:
@@ -139,7 +176,7 @@ def open_block(table: pa.Table) -> Block:
     with pa.ipc.open_stream(source) as f:
         planes = f.read_all()
     low = np.stack([planes.column(f"plane{i}").combine_chunks().to_numpy() for i in range(4)], axis=1) if planes.num_rows else np.zeros((0, 4), np.uint8)
-    numbers = np.ascontiguousarray(low).view("<u4").ravel().astype(np.int64)
+    numbers = np.ascontiguousarray(low).view("<i4").ravel()
     n_words = int(heads.schema.metadata[b"words"])
     keys = heads.column("key").combine_chunks()
     keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys

@@ -10,8 +10,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.blocks import Block, copies, cut, open_block, shut_block
+from docweft.llm.blocks import Replies, copies, cut, open_block, ragged_places, shut_block
 from docweft.llm.common import keyed, text_pass
 
 #: Where a text may be cut so that its pieces' pre-tokens are those of the whole: before a space that a non-space follows.
-_CUT, _ODD_SPACE = regex.compile(r" (?=\S)"), regex.compile(r" (?:\s|$)")
+_CUT, _ODD_SPACE = regex.compile(r" (?=\S)"), re.compile(r" (?=\s|$)")
+
+#: Marks that are a pre-token of their own after letters.
+_MARKS = frozenset(".,;:!?")
 
 
 def pieces(text: str) -> list[str]:
@@ -148,14 +153,15 @@ class Cache(dict):
 def counter(path: str, pattern: str):
     """text -> number of tokens; a special string is one token, as the library takes it by default."""
     merges, special = load_merges(path)
-    cut_words = regex.compile(pattern)
+    cut_piece = pretokens_of_piece(pattern)
     of_word = Cache(lambda w: heap_count(w.encode(), merges))
-    of_piece = Cache(lambda p: sum(map(of_word.__getitem__, cut_words.findall(p))))
+    of_first = lambda p: sum(map(of_word.__getitem__, cut_piece(p)))
+    of_piece = Cache(lambda p: of_first(" " + p))
     at_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def plain(text: str) -> int:
         first, *rest = pieces(text)
-        return of_piece[first] + sum([of_piece[" " + p] for p in rest])
+        return of_first(first) + sum(map(of_piece.__getitem__, rest))
 
     def count(text: str | None) -> int:
         if not text:
@@ -193,25 +199,57 @@ class PreTokens(dict):
         return n
 
 
+def pretokens_of_piece(pattern: str):
+    """A piece, with its space, to its pre-tokens; letters alone, and letters before one mark, need no matching."""
+    match = regex.compile(pattern).findall
+
+    def cut_piece(piece: str) -> list[str]:
+        bare = piece[1:] if piece[:1] == " " else piece
+        if bare.isalpha():
+            return [piece]
+        if bare[-1:] in _MARKS and bare[:-1].isalpha():
+            return [piece[:-1], bare[-1]]
+        return match(piece)
+
+    return cut_piece
+
+
+class PieceNumbers(dict):
+    """A piece that had a space before it to its pre-tokens' numbers; emptied at `most` pieces."""
+
+    def __init__(self, words: PreTokens, match, most: int = 250_000):
+        self.words, self.match, self.most = words, match, most
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        words = self.words
+        if piece.isalpha():
+            out = (words[" " + piece],)
+        elif piece[-1:] in _MARKS and piece[:-1].isalpha():
+            out = words[" " + piece[:-1]], words[piece[-1]]
+        else:
+            out = tuple(map(words.__getitem__, self.match(" " + piece)))
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = out
+        return out
+
+
 def pretoken_numbers(pattern: str):
     """For one block: its pre-tokens, and text -> their numbers, in order."""
-    words, cut_words = PreTokens(), regex.compile(pattern)
-    of_piece = Cache(lambda p: tuple(map(words.__getitem__, cut_words.findall(p))))
+    words, match = PreTokens(), regex.compile(pattern).findall
+    of_piece = PieceNumbers(words, match)
 
-    def numbers(text: str) -> list[int]:
+    def numbers(text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         first, *rest = pieces(text)
-        out = list(of_piece[first])
-        for p in rest:
-            out += of_piece[" " + p]
-        return out
+        return np.fromiter(chain(map(words.__getitem__, match(first)), chain.from_iterable(map(of_piece.__getitem__, rest))), np.int32)
 
     return words, numbers
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 25
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 24
 ) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids by the ranks at path (.tiktoken), as little-endian unsigned 32-bit integers.
 
@@ -222,8 +260,7 @@ def encode_documents(
     """
     rows = keyed(docs, key, text)
     key_type = rows.schema["key"].dataType
-    small = len(load_ranks(path)) <= 1 << 16
-    unit = np.dtype("<u2" if small else "<u4")
+    unit = np.dtype("<u2" if len(load_ranks(path)) <= 1 << 16 else "<u4")
     start = lambda: pretoken_numbers(pattern)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,28 +272,27 @@ def encode_documents(
             yield shut_block(block)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last = load_ranks(path), (None, b"")
+        ranks, last, replies = load_ranks(path), (None, b""), Replies()
         for batch in batches:
             distinct = batch.column("word").dictionary_encode()
             names = distinct.dictionary.to_pylist()
             made = [last[1] if w == last[0] else np.array(encode_word(w.encode(), ranks), unit).tobytes() for w in names]
             if made:
                 last = (names[-1], made[-1])
-            ids = pa.array(made, pa.binary()).take(distinct.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), ids], ["block", "number", "ids"])
+            yield from replies.add(batch.column("block"), batch.column("number"), pa.array(made, pa.binary()).take(distinct.indices))
+        yield from replies.rest()
 
     met = rows.mapInArrow(words, "block long, number int, word string").repartition("word").sortWithinPartitions("word")
-    encoded = met.mapInArrow(encode, "block long, number int, ids binary").withColumn("body", F.lit(None).cast("binary"))
-    order = rows.mapInArrow(orders, "block long, number int, ids binary, body binary")
+    encoded = met.mapInArrow(encode, "block long, reply binary, body binary")
+    order = rows.mapInArrow(orders, "block long, reply binary, body binary")
 
     def assemble(table: pa.Table) -> pa.Table:
-        block: Block = open_block(table)
-        flat, begins, sizes = block.ragged(table, "ids", unit)
+        block = open_block(table)
+        flat, begins, sizes = block.ragged(table, unit)
         ids, counts = [], []
         for numbers in block.documents():
             n = sizes[numbers]
-            steps = np.arange(n.sum()) + np.repeat(begins[numbers] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else []
-            ids.append(flat[np.asarray(steps, np.int64)].astype("<u4").tobytes())
+            ids.append(flat[ragged_places(begins[numbers], n)].astype("<u4").tobytes())
             counts.append(int(n.sum()))
         out = pa.table({"key": block.keys, "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.binary())})
         return pa.concat_tables([out] * copies(table))
@@ -290,8 +326,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", into: str
         for at in range(0, len(blob), 1 << 20):
             tokens = np.frombuffer(blob[at : at + (1 << 20)], "<u4")
             n = sizes[tokens]
-            steps = np.arange(n.sum()) + np.repeat(begins[tokens] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            out.append(data[steps].tobytes())
+            out.append(data[ragged_places(begins[tokens], n)].tobytes())
         return b"".join(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

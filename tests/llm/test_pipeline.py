@@ -1,0 +1,27 @@
+"""The pipeline's stages on the smallest tables."""
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = docs.count()
+        assert after == before if name == "line_dedup" else 0 < after <= 2 * before
+        before = after
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert last.count() == before
+
+
+def test_empty_input(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DIR).count() == 0

@@ -24,3 +24,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     return spark
+
+
+def saved(df):
+    """df computed once and its lineage cut by a reliable checkpoint, in the cluster's folder or else in the warehouse."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()

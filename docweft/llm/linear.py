@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sums(rows: DataFrame, dims: int, each) -> list[np.ndarray]:
-    """The sum over partitions of the arrays each(idx, row_of, y, n) gives, as float64; one row a partition is sent."""
+def sums(rows: DataFrame, dims: int, each, tasks: int = 8) -> list[np.ndarray]:
+    """The sum over rows of the arrays each(idx, row_of, y, n) gives, as float64.
+
+    The sample is bounded, so a fixed number of tasks goes over it, and each sends one row: what the driver gets is bounded too.
+    """
 
     def run(batches):
         total = None
@@ -28,7 +31,7 @@ def sums(rows: DataFrame, dims: int, each) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([t.astype("<f4").tobytes()], pa.binary()) for t in total], [f"s{i}" for i in range(len(total))])
 
     width = len(each(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0))
-    found = rows.mapInArrow(run, ", ".join(f"s{i} binary" for i in range(width))).collect()
+    found = rows.coalesce(tasks).mapInArrow(run, ", ".join(f"s{i} binary" for i in range(width))).collect()
     return [np.sum([np.frombuffer(r[i], "<f4").astype(float) for r in found], axis=0) if found else None for i in range(width)]
 
 

@@ -80,7 +80,7 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     return voted.select("key", good.alias("posterior")), model
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3000, parts: int = 8) -> tuple[QualityModel, DataFrame]:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3000) -> tuple[QualityModel, DataFrame]:
     """The model, and the posterior label of every row as (key, posterior).
 
     The label model sees all rows. The scorer is trained on at most `most` rows of each class of the posterior, those
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 30
     chosen = taken[0].union(taken[1]).select("key", F.col("p").alias("y"))
     texts = keyed(docs, key, text).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
     shapes = lambda batch: [pa.array([s.astype("<u4").tobytes() for s in map(Shapes(), batch)], pa.binary())]
-    rows = text_pass(texts.repartition(parts, "key"), [T.StructField("idx", T.BinaryType())], shapes).select("y", "idx").persist(StorageLevel.DISK_ONLY)
+    rows = text_pass(texts.repartition("key"), [T.StructField("idx", T.BinaryType())], shapes).select("y", "idx").persist(StorageLevel.DISK_ONLY)
     weights, bias = linear.fit(rows, DIMS, rounds=40)
     rows.unpersist()
     counts = [min(shares[y], most) for y in (0, 1)]

@@ -56,7 +56,7 @@ class ToxicityModel:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 4000, parts: int = 8
+    docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 4000
 ) -> ToxicityModel:
     """A model from labelled rows; may_learn, over docs, says which rows may be learned from.
 
@@ -76,7 +76,7 @@ def fit(
     chosen = linear.sample_of_each_class(known, most)
     texts = keyed(learnable, key, text).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
     grams = lambda batch: [pa.array([g.astype("<u4").tobytes() for g in map(Grams(), batch)], pa.binary())]
-    rows = text_pass(texts.repartition(parts, "key"), [T.StructField("idx", T.BinaryType())], grams).select(F.col("y").cast("double"), "idx")
+    rows = text_pass(texts.repartition("key"), [T.StructField("idx", T.BinaryType())], grams).select(F.col("y").cast("double"), "idx")
     rows = rows.persist(StorageLevel.DISK_ONLY)
     weights, bias = linear.fit(rows, DIMS, linear.log_count_ratios(rows, DIMS))
     rows.unpersist()

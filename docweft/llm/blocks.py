@@ -16,12 +16,12 @@ ROWS = 1 << 16
 
 
 class Block:
-    """Documents in order: their keys, the numbers of their words, and the distinct words by number.
+    """Documents in order: their keys, the numbers of their words, and the distinct words in order, by number.
 
-    Words are numbered by falling frequency, ties by first use.
+    numbers and counts are None where only the distinct words were asked for.
     """
 
-    def __init__(self, name: int, keys: pa.Array, counts: np.ndarray, numbers: np.ndarray, words: list | None, n_words: int, extra: dict[str, np.ndarray]):
+    def __init__(self, name: int, keys: pa.Array, counts: np.ndarray | None, numbers: np.ndarray | None, words: list | None, n_words: int, extra: dict[str, np.ndarray]):
         self.name, self.keys, self.counts, self.numbers, self.words, self.n_words, self.extra = name, keys, counts, numbers, words, n_words, extra
 
     def documents(self) -> Iterator[np.ndarray]:
@@ -99,35 +99,48 @@ def ragged_places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
+class Numbers(dict):
+    """Words to numbers by first use; add() gives a text's numbers. Subclasses say how a text is cut."""
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def distinct(self) -> list:
+        return list(self)
+
+
 def cut(batches: Iterator[pa.RecordBatch], start: Callable, block_bytes: int, beside: tuple[str, ...] = ()) -> Iterator[Block]:
     """Blocks of about block_bytes of text from batches of (key, text) and the columns `beside`, which go to extra.
 
-    start() gives a block's words (a dict from word to number that grows) and a function from a text to its numbers.
+    start() makes a block's gatherer: add(text) takes in a text and gives its words' numbers, or None where they aren't
+    wanted; distinct() lists the words, by number if there are numbers.
     A block is named by a hash of its keys and texts, so each pass over the same rows gives it the same name; blocks
     that are equal throughout share a name, and copies() says how many there are.
     """
-    words, of = start()
+    words = start()
     keys, more, counts, numbers, size, mark = [], [], [], [], 0, xxhash.xxh64()
 
     def shut() -> Block:
-        flat = np.concatenate(numbers)
-        used = np.bincount(flat, minlength=len(words))
-        order = np.argsort(-used, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        names = list(words)
+        names, flat, sizes = words.distinct(), None, None
+        if numbers[0] is None:
+            names.sort()
+        else:
+            order = sorted(range(len(names)), key=names.__getitem__)
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            names, flat, sizes = [names[i] for i in order], place[np.concatenate(numbers)], np.array(counts, np.int64)
         extra = {c: pa.concat_arrays([m[i] for m in more]).to_numpy(zero_copy_only=False) for i, c in enumerate(beside)}
-        sizes = np.array(counts, np.int64)
-        return Block(mark.intdigest() - (1 << 63), pa.concat_arrays(keys), sizes, place[flat], [names[i] for i in order], len(names), extra)
+        return Block(mark.intdigest() - (1 << 63), pa.concat_arrays(keys), sizes, flat, names, len(names), extra)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
             texts, names, first = piece.column("text").to_pylist(), piece.column("key").to_pylist(), 0
             for row, text in enumerate(texts):
-                got = of(text)
-                numbers.append(np.asarray(got, np.int32))
-                counts.append(len(got))
+                got = words.add(text)
+                numbers.append(got)
+                counts.append(0 if got is None else len(got))
                 raw = text.encode()
                 mark.update(f"{names[row]} {len(raw)} ".encode() + raw)
                 size += len(raw)
@@ -139,25 +152,38 @@ def cut(batches: Iterator[pa.RecordBatch], start: Callable, block_bytes: int, be
                     first = row + 1
                 if size >= block_bytes:
                     yield shut()
-                    words, of = start()
+                    words = start()
                     keys, more, counts, numbers, size, mark = [], [], [], [], 0, xxhash.xxh64()
     if counts:
         yield shut()
 
 
+#: So many of a block's words get short codes, by falling frequency.
+SHORT = 1 << 16
+
+
 def shut_block(block: Block, **extra: np.ndarray) -> pa.RecordBatch:
     """The block without its words as one row (block, null, body), compressed."""
-    planes = block.numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
-    parts = {"counts": pa.array(block.counts), **{f"plane{i}": pa.array(np.ascontiguousarray(planes[:, i])) for i in range(4)}}
-    parts |= {k: pa.array(v) for k, v in extra.items()}
+    used = np.bincount(block.numbers, minlength=block.n_words)
+    top = np.argsort(-used, kind="stable")[:SHORT].astype(np.int32)
+    codes = np.empty(block.n_words, "<u4")
+    codes[_by_code(top, block.n_words)] = np.arange(block.n_words)
+    planes = codes[block.numbers].view(np.uint8).reshape(-1, 4)
+    heads = {"key": block.keys, "counts": pa.array(block.counts), **{k: pa.array(v) for k, v in extra.items()}}
     sink = pa.BufferOutputStream()
-    for columns in ({"key": block.keys, "counts": parts.pop("counts"), **{k: parts.pop(k) for k in extra}}, parts):
+    for columns in (heads, {"top": pa.array(top)}, {f"plane{i}": pa.array(np.ascontiguousarray(planes[:, i])) for i in range(4)}):
         table = pa.table(columns).replace_schema_metadata({"words": str(block.n_words)})
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
     body = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-    name = pa.array([block.name], pa.int64())
-    return pa.RecordBatch.from_arrays([name, pa.nulls(1, pa.binary()), body], ["block", "reply", "body"])
+    return pa.RecordBatch.from_arrays([pa.array([block.name], pa.int64()), pa.nulls(1, pa.binary()), body], ["block", "reply", "body"])
+
+
+def _by_code(top: np.ndarray, n: int) -> np.ndarray:
+    """Word numbers in order of their codes: the top ones, then the others as they are."""
+    rest = np.ones(n, bool)
+    rest[top] = False
+    return np.concatenate([top, np.flatnonzero(rest).astype(np.int32)])
 
 
 def copies(table: pa.Table) -> int:
@@ -171,14 +197,12 @@ def open_block(table: pa.Table) -> Block:
     if not bodies.num_rows:
         raise ValueError("words of a block without its body: the input changed between two reads")
     source = pa.BufferReader(bodies.column("body")[0].as_buffer())
-    with pa.ipc.open_stream(source) as f:
-        heads = f.read_all()
-    with pa.ipc.open_stream(source) as f:
-        planes = f.read_all()
-    low = np.stack([planes.column(f"plane{i}").combine_chunks().to_numpy() for i in range(4)], axis=1) if planes.num_rows else np.zeros((0, 4), np.uint8)
-    numbers = np.ascontiguousarray(low).view("<i4").ravel()
+    heads, top, planes = (pa.ipc.open_stream(source).read_all() for _ in range(3))
     n_words = int(heads.schema.metadata[b"words"])
-    keys = heads.column("key").combine_chunks()
-    keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
-    extra = {c: heads.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in heads.column_names if c not in ("key", "counts")}
-    return Block(table.column("block")[0].as_py(), keys, heads.column("counts").combine_chunks().to_numpy(), numbers, None, n_words, extra)
+    codes = np.empty((planes.num_rows, 4), np.uint8)
+    for i in range(4):
+        codes[:, i] = planes.column(f"plane{i}").to_numpy()
+    numbers = _by_code(top.column("top").to_numpy(), n_words)[codes.view("<u4").ravel()] if n_words else np.zeros(0, np.int32)
+    keys = pa.concat_arrays(heads.column("key").chunks)
+    extra = {c: heads.column(c).to_numpy() for c in heads.column_names if c not in ("key", "counts")}
+    return Block(table.column("block")[0].as_py(), keys, heads.column("counts").to_numpy(), numbers, None, n_words, extra)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.blocks import Replies, copies, cut, open_block, ragged_places, shut_block
+from docweft.llm.blocks import Numbers, Replies, copies, cut, open_block, ragged_places, shut_block
 from docweft.llm.common import keyed, text_pass
 
 #: Where a text may be cut so that its pieces' pre-tokens are those of the whole: before a space that a non-space follows.
@@ -191,14 +191,6 @@ def token_counts(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-class PreTokens(dict):
-    """Pre-token to its number in the block."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def pretokens_of_piece(pattern: str):
     """A piece, with its space, to its pre-tokens; letters alone, and letters before one mark, need no matching."""
     match = regex.compile(pattern).findall
@@ -217,7 +209,7 @@ def pretokens_of_piece(pattern: str):
 class PieceNumbers(dict):
     """A piece that had a space before it to its pre-tokens' numbers; emptied at `most` pieces."""
 
-    def __init__(self, words: PreTokens, match, most: int = 250_000):
+    def __init__(self, words: Numbers, match, most: int = 250_000):
         self.words, self.match, self.most = words, match, most
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -234,18 +226,39 @@ class PieceNumbers(dict):
         return out
 
 
-def pretoken_numbers(pattern: str):
-    """For one block: its pre-tokens, and text -> their numbers, in order."""
-    words, match = PreTokens(), regex.compile(pattern).findall
-    of_piece = PieceNumbers(words, match)
+class PreTokens(Numbers):
+    """A text's pre-tokens."""
+
+    def __init__(self, pattern: str):
+        self.match = regex.compile(pattern).findall
+        self.of_piece = PieceNumbers(self, self.match)
 
-    def numbers(text: str) -> np.ndarray:
+    def add(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         first, *rest = pieces(text)
-        return np.fromiter(chain(map(words.__getitem__, match(first)), chain.from_iterable(map(of_piece.__getitem__, rest))), np.int32)
+        return np.fromiter(chain(map(self.__getitem__, self.match(first)), chain.from_iterable(map(self.of_piece.__getitem__, rest))), np.int32)
+
+
+class DistinctPreTokens:
+    """The distinct pre-tokens of texts alone: pieces are told apart first, and each is cut once."""
+
+    def __init__(self, pattern: str):
+        self.cut_piece, self.first, self.rest = pretokens_of_piece(pattern), set(), set()
+
+    def add(self, text: str) -> None:
+        if text:
+            first, *rest = pieces(text)
+            self.first.add(first)
+            self.rest.update(rest)
 
-    return words, numbers
+    def distinct(self) -> list[str]:
+        found, cut_piece = set(), self.cut_piece
+        for piece in self.first:
+            found.update(cut_piece(piece))
+        for piece in self.rest:
+            found.update(cut_piece(" " + piece))
+        return list(found)
 
 
 def encode_documents(
@@ -261,14 +274,13 @@ def encode_documents(
     rows = keyed(docs, key, text)
     key_type = rows.schema["key"].dataType
     unit = np.dtype("<u2" if len(load_ranks(path)) <= 1 << 16 else "<u4")
-    start = lambda: pretoken_numbers(pattern)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in cut(batches, start, block_bytes):
+        for block in cut(batches, lambda: DistinctPreTokens(pattern), block_bytes):
             yield from block.word_rows()
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in cut(batches, start, block_bytes):
+        for block in cut(batches, lambda: PreTokens(pattern), block_bytes):
             yield shut_block(block)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,8 +35,12 @@ def sums(rows: DataFrame, dims: int, each, tasks: int = 8) -> list[np.ndarray]:
     return [np.sum([np.frombuffer(r[i], "<f4").astype(float) for r in found], axis=0) if found else None for i in range(width)]
 
 
-def log_count_ratios(rows: DataFrame, dims: int, alpha: float = 1.0) -> np.ndarray:
-    """Naive Bayes log-count ratio of each bucket: how much likelier rows with y = 1 have it than rows with y = 0."""
+def log_count_ratios(rows: DataFrame, dims: int, alpha: float = 2.0, errors: float = 2.0) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket: how much likelier rows with y = 1 have it than rows with y = 0.
+
+    Ratios shrink towards zero by `errors` of their standard errors, so a bucket that few rows have counts for nothing.
+    The classes share the smoothing by what they hold in all, else a bucket that no row has would speak for the smaller.
+    """
 
     def each(flat, row_of, y, n):
         return [np.bincount(flat, y[row_of], dims), np.bincount(flat, 1 - y[row_of], dims)]
@@ -44,8 +48,11 @@ def log_count_ratios(rows: DataFrame, dims: int, alpha: float = 1.0) -> np.ndarr
     p, q = sums(rows, dims, each)
     if p is None:
         return np.zeros(dims, np.float32)
-    p, q = p + alpha, q + alpha
-    return np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+    share = p.sum() / max(p.sum() + q.sum(), 1)
+    p, q = p + alpha * share, q + alpha * (1 - share)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio, error = np.log((p / p.sum()) / (q / q.sum())), np.sqrt(1 / p + 1 / q)
+    return np.nan_to_num(np.sign(ratio) * np.maximum(np.abs(ratio) - errors * error, 0), posinf=0, neginf=0).astype(np.float32)
 
 
 def fit(rows: DataFrame, dims: int, scale: np.ndarray | None = None, rounds: int = 30, l2: float = 1e-2, step: float = 0.1) -> tuple[np.ndarray, float]:

@@ -78,7 +78,7 @@ def fit(
     grams = lambda batch: [pa.array([g.astype("<u4").tobytes() for g in map(Grams(), batch)], pa.binary())]
     rows = text_pass(texts.repartition("key"), [T.StructField("idx", T.BinaryType())], grams).select(F.col("y").cast("double"), "idx")
     rows = rows.persist(StorageLevel.DISK_ONLY)
-    weights, bias = linear.fit(rows, DIMS, linear.log_count_ratios(rows, DIMS))
+    weights, bias = linear.fit(rows, DIMS, linear.log_count_ratios(rows, DIMS), l2=1e-3)
     rows.unpersist()
     taken = [min(shares[y], most) for y in (0, 1)]
     return ToxicityModel(weights, bias + float(np.log(shares[1] / shares[0]) - np.log(taken[1] / taken[0])))

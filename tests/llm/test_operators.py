@@ -284,6 +284,25 @@ def test_lm_base_is_exact(docs, empty):
     assert lm.score(empty, train).count() == 0
 
 
+def brute_scores(rows, m=200.0):
+    tokens = [(k, [*(t or "").encode().lower().split(), b""]) for k, t, _ in rows]
+    ones, twos = Counter(), Counter()
+    for k, w in tokens:
+        if k is not None and zlib.crc32(str(k).encode()) % 7 != 2:
+            ones.update(w)
+            twos.update(zip([b"", *w], w, strict=False))
+    n, v = sum(ones.values()), len(ones)
+    p = lambda h, x: (twos[h, x] + m * (ones[x] + 1) / (n + v + 1)) / (ones[h] + m)
+    return Counter((k, len(w), round(sum(math.log10(p(h, x)) for h, x in zip([b"", *w], w, strict=False)), 4)) for k, w in tokens)
+
+
+def test_lm_keeps_every_count_in_bounded_shards(docs):
+    train = in_training(F.col("doc_id"), 7, 2)
+    for block_bytes, shard_bytes in ((400, 500), (1 << 24, 300), (3000, 1 << 23)):
+        got = lm.score(docs, train, block_bytes=block_bytes, shard_bytes=shard_bytes).collect()
+        assert Counter((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == brute_scores(ROWS)
+
+
 def test_filter_levels(spark):
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1)

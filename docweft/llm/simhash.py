@@ -159,13 +159,18 @@ def near_duplicates(
     fingerprint 0 and link like any other; null keys get a component but never name one (all null: null). Repeated rows
     come out as often as they came in; an empty table gives no rows.
     """
+    return _grouped(docs, key, text, width, seed, bits).select(F.col("key").alias(key), "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, width: int, seed: int, bits: int) -> DataFrame:
+    """(key, fp, root, component_id) for every row; root, the group's least fingerprint, tells groups apart."""
     rows = saved(fingerprints(docs, key, text, width, seed))
     nodes = rows.groupBy("fp").agg(F.min("key").alias("first"))
     roots = saved(connected_components(links(nodes.select("fp"), bits)))
     classed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = saved(classed.join(least, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = saved(classed.join(least, "root").select("fp", "root", "component_id"))
+    return rows.join(named, "fp").select("key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
@@ -175,8 +180,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     rows, names = numbered_columns(docs)
     key_text = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
-    classes = near_duplicates(docs, key, text, width, seed, bits)
-    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("key"), "fp")).alias("m"))
+    classes = _grouped(docs, key, text, width, seed, bits)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "fp")).alias("m"))
     stays = first.select(key_text(F.col("m.key")).alias("k"), F.col("m.fp").alias("fp"))
     printed = text_pass(rows, [T.StructField("fp", T.LongType())], _column(width, seed), names[text], keep=True)
     kept = printed.withColumn("k", key_text(F.col(names[key]))).join(stays, ["k", "fp"], "left_semi")

@@ -310,6 +310,13 @@ def test_lm_unknown_words_cost_more_than_known_ones(spark, tmp_path):
     assert got[1001] < got[1000]
 
 
+def test_lm_gathers_pairs_of_rare_words(spark, tmp_path):
+    rows = [(i, " ".join(f"rare{j}" for j in range(40 * i, 40 * i + 40))) for i in range(30)] + [(1000, "rare5 rare6"), (1001, "rare5 rare8")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: r.score for r in lm.score(spark.read.parquet(str(tmp_path / "docs")), F.col("doc_id") < 1000).collect()}
+    assert got[1000] > got[1001] + 0.1
+
+
 def test_filter_levels(spark):
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1)

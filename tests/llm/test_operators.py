@@ -132,6 +132,13 @@ def test_simhash_components(docs, empty):
     assert kept.where("doc_id IS NULL").count() == sum(v is None for v in least.values())
 
 
+def test_groups_without_a_key_of_their_own_each_keep_a_row(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert bag(kept) == bag([rows[0], rows[1], rows[3], rows[4]])
+
+
 def test_links_of_crowded_postings(spark):
     rng = np.random.default_rng(3)
     center = rng.integers(0, 2**63, 12)

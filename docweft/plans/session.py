@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,11 +26,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(df):
-    """df computed once and its lineage cut by a reliable checkpoint, in the cluster's folder or else in the warehouse."""
-    spark = df.sparkSession
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """Make checkpoint() usable: the folder that the cluster names, or one in the warehouse where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return spark
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut by a reliable checkpoint."""
+    with_checkpoints(df.sparkSession)
     return df.checkpoint()

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweft.plans.session import saved, with_checkpoints
+
+__all__ = ["saved", "with_checkpoints"]
+
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,21 +27,6 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make checkpoint() usable: the cluster's folder, or one in the warehouse where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return spark
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a reliable checkpoint."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of a key's text modulo modulus; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % modulus
@@ -54,8 +43,9 @@ def is_held_out(key: Column, modulus: int, held: int) -> Column:
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The key and the text alone, as `key` and `text` (null text: empty); other columns can't clash."""
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """The key and the text alone, as `key` and `text` (null text: empty); other columns can't clash, of columns of one name the first counts."""
+    rows, names = numbered_columns(docs)
+    return rows.select(F.col(names[key]).alias("key"), F.coalesce(F.col(names[text]).cast("string"), F.lit("")).alias("text"))
 
 
 def text_pass(
@@ -73,10 +63,24 @@ def text_pass(
     return rows.mapInArrow(run, T.StructType(kept + fields))
 
 
-def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """df with columns named c0, c1, ..., which clash with nothing an operator adds, and the new name of each old one."""
-    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    return df.toDF(*names.values()), names
+class Names(list):
+    """(old name, new name) of each column in order; old names may repeat. names[old] is the new name of the first."""
+
+    def __getitem__(self, old: str) -> str:
+        return next(new for o, new in self if o == old)
+
+
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, Names]:
+    """df with columns named c0, c1, ..., which clash with nothing an operator adds, and their names."""
+    names = Names((c, f"c{i}") for i, c in enumerate(df.columns))
+    return df.toDF(*[new for _, new in names]), names
+
+
+def copied(rows: DataFrame, n: str, number: str, at_once: int = 4096) -> DataFrame:
+    """Each row as often as its long column n says, numbered from 0; copies are made a bounded number at a time."""
+    firsts = F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(at_once).cast("long"))
+    parts = rows.where(F.col(n) > 0).select("*", F.explode(firsts).alias("_first"))
+    return parts.select("*", F.explode(F.sequence("_first", F.least(F.col(n), F.col("_first") + at_once) - 1)).alias(number)).drop("_first")
 
 
 def small_batches(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:

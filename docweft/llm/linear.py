@@ -1,53 +1,86 @@
 """Logistic regression over hashed binary features, fitted by Spark jobs on a bounded sample.
 
 A row's features are the sorted bucket numbers it has, as little-endian unsigned 32-bit integers. Each round sends the
-weights out and adds up one gradient a partition; rows never reach the driver.
+weights of the buckets in use out and adds up one gradient a task; rows never reach the driver. The rounds are plain jobs
+over packed partitions, not queries: a query a round would leave its plan and its generated code with the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.common import saved
 
-def sums(rows: DataFrame, dims: int, each, tasks: int = 8) -> list[np.ndarray]:
-    """The sum over rows of the arrays each(idx, row_of, y, n) gives, as float64.
+#: Rows that are packed together; what a task holds at a time.
+PACK = 128
 
-    The sample is bounded, so a fixed number of tasks goes over it, and each sends one row: what the driver gets is bounded too.
-    """
+Pack = tuple[np.ndarray, np.ndarray, np.ndarray]  #: labels, numbers of features, features
+
+
+def packed(rows: DataFrame, tasks: int = 8) -> RDD:
+    """Packs of the rows' (y, idx), in a fixed number of partitions: what the rounds send to the driver is bounded too."""
+
+    def run(part: Iterator) -> Iterator[Pack]:
+        held: list = []
+        for row in part:
+            held.append(row)
+            if len(held) == PACK:
+                yield _pack(held)
+                held = []
+        if held:
+            yield _pack(held)
+
+    return saved(rows.select("y", "idx")).rdd.coalesce(tasks).mapPartitions(run)
+
+
+def _pack(rows: list) -> Pack:
+    idx = [np.frombuffer(r.idx, "<u4") for r in rows]
+    return np.array([r.y for r in rows], float), np.array([len(i) for i in idx]), np.concatenate(idx)
+
+
+def sums(packs: RDD, each: Callable[[Pack], list[np.ndarray]]) -> list[np.ndarray] | None:
+    """The sums over all packs of the arrays that each() gives, as float64; None without any pack."""
 
-    def run(batches):
+    def run(part: Iterator[Pack]) -> Iterator[list[np.ndarray]]:
         total = None
-        for batch in batches:
-            blobs = batch.column("idx").to_pylist()
-            idx = [np.frombuffer(b, "<u4") for b in blobs]
-            row_of = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
-            flat = np.concatenate(idx).astype(np.int64) if idx else np.zeros(0, np.int64)
-            got = each(flat, row_of, batch.column("y").to_numpy(zero_copy_only=False), len(idx))
+        for pack in part:
+            got = each(pack)
             total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([t.astype("<f4").tobytes()], pa.binary()) for t in total], [f"s{i}" for i in range(len(total))])
+            yield [t.astype(np.float32) for t in total]
 
-    width = len(each(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0))
-    found = rows.coalesce(tasks).mapInArrow(run, ", ".join(f"s{i} binary" for i in range(width))).collect()
-    return [np.sum([np.frombuffer(r[i], "<f4").astype(float) for r in found], axis=0) if found else None for i in range(width)]
+    found = packs.mapPartitions(run).collect()
+    return [np.sum([f[i] for f in found], axis=0, dtype=float) for i in range(len(found[0]))] if found else None
 
 
-def log_count_ratios(rows: DataFrame, dims: int, alpha: float = 2.0, errors: float = 2.0) -> np.ndarray:
+def rows_of(sizes: np.ndarray) -> np.ndarray:
+    """The row of each feature."""
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def log_count_ratios(packs: RDD, dims: int, alpha: float = 2.0, errors: float = 2.0) -> np.ndarray:
     """Naive Bayes log-count ratio of each bucket: how much likelier rows with y = 1 have it than rows with y = 0.
 
     Ratios shrink towards zero by `errors` of their standard errors, so a bucket that few rows have counts for nothing.
     The classes share the smoothing by what they hold in all, else a bucket that no row has would speak for the smaller.
     """
 
-    def each(flat, row_of, y, n):
-        return [np.bincount(flat, y[row_of], dims), np.bincount(flat, 1 - y[row_of], dims)]
+    def each(pack: Pack) -> list[np.ndarray]:
+        y, sizes, flat = pack
+        of = y[rows_of(sizes)]
+        return [np.bincount(flat, of, dims), np.bincount(flat, 1 - of, dims)]
+
+    found = sums(packs, each)
+    return np.zeros(dims, np.float32) if found is None else shrunk_ratios(*found, alpha, errors)
 
-    p, q = sums(rows, dims, each)
-    if p is None:
-        return np.zeros(dims, np.float32)
+
+def shrunk_ratios(p: np.ndarray, q: np.ndarray, alpha: float, errors: float) -> np.ndarray:
+    """See log_count_ratios(); p, q: rows of class 1 and 0 that have each bucket."""
     share = p.sum() / max(p.sum() + q.sum(), 1)
     p, q = p + alpha * share, q + alpha * (1 - share)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -55,26 +88,56 @@ def log_count_ratios(rows: DataFrame, dims: int, alpha: float = 2.0, errors: flo
     return np.nan_to_num(np.sign(ratio) * np.maximum(np.abs(ratio) - errors * error, 0), posinf=0, neginf=0).astype(np.float32)
 
 
-def fit(rows: DataFrame, dims: int, scale: np.ndarray | None = None, rounds: int = 30, l2: float = 1e-2, step: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights by bucket (times scale) and bias; rows has y (0 to 1, soft labels too) and idx. Adam on the full sample."""
-    scale = np.ones(dims, np.float32) if scale is None else scale.astype(np.float32)
-    w, m, v = np.zeros(dims + 1), np.zeros(dims + 1), np.zeros(dims + 1)
+def only(packs: RDD, used: np.ndarray, dims: int) -> RDD:
+    """The packs with the used buckets alone, under their places in `used`."""
+    place = np.full(dims, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    sent = packs.context.broadcast(place)
+
+    def cut(pack: Pack) -> Pack:
+        y, sizes, flat = pack
+        now = sent.value[flat]
+        keep = now >= 0
+        return y, np.bincount(rows_of(sizes)[keep], minlength=len(sizes)), now[keep]
+
+    return packs.map(cut)
+
+
+def fit(packs: RDD, dims: int, scale: np.ndarray | None = None, rounds: int = 30, l2: float = 1e-2, step: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights by bucket (times scale) and bias; y may be soft, 0 to 1. Adam on the full sample.
+
+    A bucket of scale 0 has no gradient, so only the others are looked at.
+    """
+    used = np.arange(dims) if scale is None else np.flatnonzero(scale)
+    scale = np.ones(dims) if scale is None else scale[used].astype(float)
+    mine = (packs if len(used) == dims else only(packs, used, dims)).persist(StorageLevel.DISK_ONLY)
+    n = len(used)
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        sent, bias = (w[:-1] * scale).astype(np.float32), w[-1]
+        sent = mine.context.broadcast(((w[:-1] * scale).astype(np.float32), w[-1]))
 
-        def each(flat, row_of, y, n, sent=sent, bias=bias):
-            z = np.bincount(row_of, sent[flat], n) + bias
-            off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            return [np.bincount(flat, off[row_of], dims), np.array([off.sum(), n], float)]
+        def each(pack: Pack, sent=sent) -> list[np.ndarray]:
+            y, sizes, flat = pack
+            of, (weights, bias) = rows_of(sizes), sent.value
+            off = logistic(np.bincount(of, weights[flat], len(sizes)) + bias) - y
+            return [np.bincount(flat, off[of], n), np.array([off.sum(), len(y)])]
 
-        g, rest = sums(rows, dims, each)
-        if g is None or rest[1] == 0:
+        found = sums(mine, each)
+        sent.destroy()
+        if found is None or found[1][1] == 0:
             break
-        grad = np.append(g * scale, rest[0]) / rest[1]
-        grad[:-1] += l2 * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w -= step * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return (w[:-1] * scale).astype(np.float32), float(w[-1])
+        w, m, v = adam(w, m, v, np.append(found[0] * scale, found[1][0]) / found[1][1], l2, t, step * (1 - t / (rounds + 1)))
+    mine.unpersist()
+    out = np.zeros(dims, np.float32)
+    out[used] = w[:-1] * scale
+    return out, float(w[-1])
+
+
+def adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, grad: np.ndarray, l2: float, t: int, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and moments after round t; the last weight, the bias, has no penalty."""
+    grad = grad + l2 * np.append(w[:-1], 0.0)
+    m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+    return w - step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8), m, v
 
 
 def logistic(z: np.ndarray) -> np.ndarray:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,9 +96,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 30
     chosen = taken[0].union(taken[1]).select("key", F.col("p").alias("y"))
     texts = keyed(docs, key, text).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
     shapes = lambda batch: [pa.array([s.astype("<u4").tobytes() for s in map(Shapes(), batch)], pa.binary())]
-    rows = text_pass(texts.repartition("key"), [T.StructField("idx", T.BinaryType())], shapes).select("y", "idx").persist(StorageLevel.DISK_ONLY)
-    weights, bias = linear.fit(rows, DIMS, rounds=40)
-    rows.unpersist()
+    rows = text_pass(texts.repartition("key"), [T.StructField("idx", T.BinaryType())], shapes).select("y", "idx")
+    weights, bias = linear.fit(linear.packed(rows), DIMS, rounds=40)
     counts = [min(shares[y], most) for y in (0, 1)]
     return QualityModel(votes, weights, bias + float(np.log(shares[1] / shares[0]) - np.log(counts[1] / counts[0]))), posterior
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,25 +76,27 @@ def fit(
     texts = keyed(learnable, key, text).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
     grams = lambda batch: [pa.array([g.astype("<u4").tobytes() for g in map(Grams(), batch)], pa.binary())]
     rows = text_pass(texts.repartition("key"), [T.StructField("idx", T.BinaryType())], grams).select(F.col("y").cast("double"), "idx")
-    rows = rows.persist(StorageLevel.DISK_ONLY)
-    weights, bias = linear.fit(rows, DIMS, linear.log_count_ratios(rows, DIMS), l2=1e-3)
-    rows.unpersist()
+    packs = linear.packed(rows)
+    weights, bias = linear.fit(packs, DIMS, linear.log_count_ratios(packs, DIMS), l2=1e-3)
     taken = [min(shares[y], most) for y in (0, 1)]
     return ToxicityModel(weights, bias + float(np.log(shares[1] / shares[0]) - np.log(taken[1] / taken[0])))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "score") -> DataFrame:
-    """docs, all columns kept under their names, with the score of each whole text (0 to 1) added as the last column.
+    """docs with the score of each whole text (0 to 1) added as the last column; a column of that name gives way to it.
 
     A null text scores as an empty one; repeated rows come out as they came in; an empty table gives no rows.
     """
     rows, names = numbered_columns(docs)
     scored = text_pass(rows, [T.StructField("score", T.DoubleType())], lambda texts: [pa.array(model.scores(texts))], names[text], keep=True)
-    return scored.toDF(*docs.columns, into)
+    return scored.select(*[F.col(new).alias(old) for old, new in names if old != into], F.col("score").alias(into))
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", at: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `at`, with the columns of docs."""
+    """The rows of docs that score below `at`, with the columns of docs, whatever their names.
+
+    Null and empty texts score alike; repeated rows stay or go together; null keys play no part; an empty table gives no rows.
+    """
     rows, names = numbered_columns(docs)
     scored = text_pass(rows, [T.StructField("score", T.DoubleType())], lambda texts: [pa.array(model.scores(texts))], names[text], keep=True)
-    return scored.where(F.col("score") < at).drop("score").toDF(*docs.columns)
+    return scored.where(F.col("score") < at).select(*[F.col(new).alias(old) for old, new in names])

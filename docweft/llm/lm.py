@@ -1,8 +1,10 @@
-"""Language-model scores from exact n-gram counts, beside the exact add-one unigram score.
+"""Language-model scores from a sharded log-frequency Bloom filter of word pairs, beside the exact add-one unigram score.
 
-Words meet their counts in a shuffle of distinct words by block. Pairs of words do so in shards: a block sends each shard
-the hashes of its distinct pairs in one row, and the shard sends their counts in the corpus back. The number of shards
-grows with the input, so a task holds one shard of bounded size, and no pair is left out.
+Words meet their exact counts in a shuffle of distinct words by block. Pairs of words live in a log-frequency Bloom filter
+cut into shards: a block sends each shard the hashes of its distinct pairs in one row, the shard's task adds up their
+counts, puts the quantised counts into its filter, and answers each block's pairs by repeated membership probes. A filter
+of the whole corpus grows with it and can't be broadcast; shards can't outgrow a task, as their number follows the input,
+and no pair is left out.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from docweft.llm.blocks import Block, Numbers, Replies, copies, cut, open_block, shut_block
 from docweft.llm.common import lower_words_of, saved
-from docweft.llm.lm_filter import mix
+from docweft.llm.lm_filter import BITS_A_MEMBER, Filter, count_of, level_of, mix
 
 END = b""  #: the token that ends a text, and stands before its first word
 UNIT = np.dtype("<i8")
@@ -95,47 +97,51 @@ def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sums[:1]), pa.array(sums[1:])], ["n", "v"])
 
 
-def count_shard(key: tuple, table: pa.Table) -> pa.Table:
-    """The blocks' pairs of a shard, each replaced by its count in the corpus; other rows as they are."""
-    ask = table.filter(pc.equal(table.column("kind"), 1))
-    rest = table.filter(pc.equal(table.column("kind"), 0)).select(["block", "shard", "reply", "body"])
-    if not ask.num_rows:
-        return rest
-    asks = [opened_ask(b.as_buffer()) for b in ask.column("reply")]
-    keys, times = np.concatenate([a[0] for a in asks]), np.concatenate([a[1] for a in asks])
-    order = np.argsort(keys)
-    inner = keys[order]
-    starts = np.flatnonzero(np.append(True, inner[1:] != inner[:-1]))
-    sums = np.add.reduceat(times[order].astype(np.int64), starts)
-    counts = np.empty(len(keys), UNIT)
-    counts[order] = np.repeat(sums, np.diff(np.append(starts, len(inner))))
-    replies, at = [], 0
-    for n in (len(a[0]) for a in asks):
-        replies.append(packed(counts[at : at + n]))
-        at += n
-    done = pa.table({"block": ask.column("block"), "shard": ask.column("shard"), "reply": pa.array(replies, pa.binary()), "body": pa.nulls(len(replies), pa.binary())})
-    return pa.concat_tables([rest, done])
+def shard_probe(bits_a_member: int):
+    """A function of a shard's rows: the blocks' pairs, each replaced by its level in the shard's filter; other rows as they are."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ask = table.filter(pc.equal(table.column("kind"), 1))
+        rest = table.filter(pc.equal(table.column("kind"), 0)).select(["block", "shard", "reply", "body"])
+        if not ask.num_rows:
+            return rest
+        asks = [opened_ask(b.as_buffer()) for b in ask.column("reply")]
+        keys, times = np.concatenate([a[0] for a in asks]), np.concatenate([a[1] for a in asks])
+        seen = times > 0
+        learned, place = np.unique(keys[seen], return_inverse=True)
+        counts = np.bincount(place, times[seen], len(learned)).astype(np.int64)
+        grams = Filter(learned, level_of(counts), bits_a_member)
+        del keys, times, seen, learned, place, counts
+        replies = [packed(grams.levels(a[0])) for a in asks]
+        done = pa.table({"block": ask.column("block"), "shard": ask.column("shard"), "reply": pa.array(replies, pa.binary()), "body": pa.nulls(len(replies), pa.binary())})
+        return pa.concat_tables([rest, done])
+
+    return run
 
 
 def token_scores(tokens: int, types: int, m: float, counts: np.ndarray, before: np.ndarray, numbers: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 P(w after h) for tokens w after words h: (c(hw) + m P(w)) / (c(h) + m) with P(w) = (c(w) + 1) / (N + V + 1).
 
-    counts: by word number; pairs: c(hw) of each token. All known words and one unknown word sum up to 1, for every h,
-    as each training occurrence of h is followed by one word or the end.
+    counts: exact, by word number; pairs: c(hw) of each token as the filter has it, held to what c(h) and c(w) allow, so a
+    false positive never makes a pair of an unknown word. With exact pairs all known words and one unknown word sum up to
+    1 for every h, as each training occurrence of h is followed by one word or the end; quantised ones, whose middles are
+    taken, come near it.
     """
     single = (counts + 1) / (tokens + types + 1.0)
+    pairs = np.minimum(pairs, np.minimum(counts[before], counts[numbers]))
     return np.log10((pairs + m * single[numbers]) / (counts[before] + m))
 
 
 def score(
     docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 24,
-    m: float = 200.0, shard_bytes: int = 1 << 23,
+    m: float = 200.0, shard_bytes: int = 1 << 23, bits_a_member: int = BITS_A_MEMBER,
 ) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) for every row; train, over docs, marks what is learned from.
 
     base_score: sum of log10((c + 1) / (N + V + 1)) with exact counts. score: the model's log10 probability, see
-    token_scores(). Every pair of words of the training texts counts, whatever its words' frequency and the input's size;
-    a shard's pairs are told apart by 56-bit hashes. There is a shard for each shard_bytes of text. A null or empty text is its end
+    token_scores(). Every pair of words of the training texts is in a filter, whatever its words' frequency and the
+    input's size; a shard's pairs are told apart by 56-bit hashes. There is a shard for each shard_bytes of text, so a
+    filter has at most as many members as that has pairs, times their levels. A null or empty text is its end
     alone. Repeated rows and null keys come out as they came in; an empty table gives no rows; without training texts all
     words are unseen. docs must be a stored table: it is read thrice.
     """
@@ -207,7 +213,7 @@ def score(
                 )
 
     asked = rows.mapInArrow(ask, "block long, at long, shard long, kind int, reply binary, body binary")
-    counted = asked.groupBy("at").applyInArrow(count_shard, "block long, shard long, reply binary, body binary")
+    counted = asked.groupBy("at").applyInArrow(shard_probe(bits_a_member), "block long, shard long, reply binary, body binary")
     base = float(tokens + types + 1)
 
     def assemble(table: pa.Table) -> pa.Table:
@@ -220,8 +226,8 @@ def score(
         end = int(block.numbers[block.counts[0] - 1])
         codes, place = np.unique(pair_codes(block, end), return_inverse=True)
         _, order = by_shard(codes, residues, shards)
-        pairs = np.empty(len(codes), np.int64)
-        pairs[order] = np.concatenate([unpacked(blobs[n], UNIT) for n in sorted(blobs)])
+        pairs = np.empty(len(codes))
+        pairs[order] = count_of(np.concatenate([unpacked(blobs[n], np.dtype("u1")) for n in sorted(blobs)]))
         of_token, starts = counts[block.numbers], np.cumsum(block.counts) - block.counts
         scores = token_scores(tokens, types, m, counts, words_before(block, end), block.numbers, pairs[place])
         out = pa.table({

@@ -1,19 +1,16 @@
 """A log-frequency Bloom filter: quantised counts as members (key, 1), ..., (key, level), read by repeated membership probes.
 
-All members of a key lie in the chunk its top bits name, so chunks are filled apart, one group of a Spark job each, and
-joined on the driver into an array whose size has a fixed bound.
+A filter is sized by its members, so no count is ever left out; a corpus has many filters, one for each shard of its keys,
+and their number follows the input while the size of each has a bound.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-CHUNKS, PROBES, BITS_A_MEMBER = 64, 6, 12
-#: Counts are quantised by powers of this.
-BASE = 2**0.5
+PROBES, BITS_A_MEMBER = 6, 12
+#: The least count of each level: whole numbers nearest above the half powers of two, each once.
+LEAST = np.unique(np.ceil(2 ** (np.arange(0, 124) / 2) - 1e-9).astype(np.int64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,77 +21,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log counts), in half powers of two; 0 for no count."""
-    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1)) * 2 + 1e-9), 0).astype(np.int64)
+    """The level of each count: 1, 2, 3 and 4 for 1, 2, 3 and 4 to 5, then two for each power of two; 0 for no count."""
+    return np.searchsorted(LEAST, counts, "right")
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of the whole counts that have a level; 0 for level 0."""
-    low = np.ceil(BASE ** (levels - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(BASE ** (levels * 1.0) - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+    """The middle of the counts that have a level; 0 for level 0."""
+    at = np.maximum(levels, 1)
+    return np.where(levels > 0, (LEAST[at - 1] + LEAST[at] - 1) / 2, 0.0)
 
 
 class Filter:
-    """Bits in CHUNKS chunks of equal size."""
+    """The bits of one shard's keys (distinct, uint64) of levels above 0."""
 
-    def __init__(self, bits: np.ndarray, chunk_bits: int):
-        self.bits, self.chunk_bits = bits, chunk_bits
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, bits_a_member: int = BITS_A_MEMBER):
+        self.size = np.uint64(max(64, int(levels.sum()) * bits_a_member))
+        bits = np.zeros(int(self.size), bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            one, two = _steps(keys[levels >= level], level)
+            for p in range(PROBES):
+                bits[(one + np.uint64(p) * two) % self.size] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """The places of the keys that are members at a level, but for false positives (0.4 % of the others)."""
         alive = np.arange(len(keys))
-        base = (keys >> np.uint64(58)) * np.uint64(self.chunk_bits)
         one, two = _steps(keys, level)
         for p in range(PROBES):
-            at = base[alive] + (one[alive] + np.uint64(p) * two[alive]) % np.uint64(self.chunk_bits)
+            at = (one[alive] + np.uint64(p) * two[alive]) % self.size
             alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(keys), bool)
-        out[alive] = True
-        return out
+        return alive
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probe 1, 2, ... until one isn't a member."""
-        out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-        while len(alive):
+        out, alive, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+        while len(alive) and level < len(LEAST) - 1:
             level += 1
             alive = alive[self.has(keys[alive], level)]
             out[alive] = level
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return count_of(self.levels(keys))
-
 
 def _steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     one = mix(keys + np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
     return one, mix(one ^ np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-
-
-def build(entries: DataFrame, max_bits: int) -> tuple[np.ndarray, int, int]:
-    """Bits, bits of a chunk, and the least level kept, for entries (key long, level int).
-
-    The filter has 12 bits a member and max_bits at most. Where the members need more, keys of low levels go, the least
-    levels that make the rest fit: all entries are counted, and the bound holds whatever the input.
-    """
-    shares = {r["level"]: r["count"] for r in entries.groupBy("level").count().collect()}
-    least = 1
-    while sum(q * n for q, n in shares.items() if q >= least) * BITS_A_MEMBER > max_bits:
-        least += 1
-    members = sum(q * n for q, n in shares.items() if q >= least)
-    chunk_bits = max(1 << 10, -(-members * BITS_A_MEMBER // CHUNKS // 64) * 64)
-
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy().view(np.uint64)
-        levels = table.column("level").to_numpy()
-        bits = np.zeros(chunk_bits, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            one, two = _steps(keys[levels >= level], level)
-            for p in range(PROBES):
-                bits[(one + np.uint64(p) * two) % np.uint64(chunk_bits)] = True
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    kept = entries.where(F.col("level") >= least).withColumn("chunk", F.shiftrightunsigned("key", 58).cast("int"))
-    out = np.zeros(CHUNKS * chunk_bits // 8, np.uint8)
-    for r in kept.groupBy("chunk").applyInArrow(fill, "chunk int, bits binary").collect():
-        out[r["chunk"] * chunk_bits // 8 : (r["chunk"] + 1) * chunk_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out, chunk_bits, least

@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.common import WORD, numbered_columns, saved
+from docweft.llm.common import WORD, copied, numbered_columns, saved
 
 #: Weights of the sources in order, repeating, and a schedule for each: (time, factor) knots with a mean factor of 1.
 WEIGHTS = (5, 2, 1)
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-
-
 def area(knots: tuple[tuple[float, float], ...]) -> float:
     """The integral of a schedule."""
     return sum((t1 - t0) * (a + b) / 2 for (t0, a), (t1, b) in zip(knots, knots[1:], strict=False))
@@ -92,7 +90,7 @@ def mix(
     within = Window.partitionBy("source", "part").orderBy("hash", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("part", F.substring("hash", 1, 3)).withColumn("before", F.coalesce(F.sum(words).over(within), F.lit(0)))
     joined = placed.join(starts, same(placed, starts) & (placed["part"] == starts["part"])).drop(starts["source"]).drop(starts["part"])
-    rows = joined.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    rows = copied(joined, "n", "copy")
     at = F.col("begin") + F.col("before") + F.col("copy") * F.col("size")
     whole = F.floor("target").cast("long")
     part = lambda lap: F.greatest(F.lit(0), F.least(F.col("size"), whole - lap * F.col("source_size") - at))
@@ -136,7 +134,7 @@ def mixed(
         (F.col("size") > 0) & (F.col("lap") * F.col("source_size") + F.col("first_at") < F.floor("target"))
     )
     ordered = each.withColumn("position", position_of(F.col("lap"), F.col("first_at"), curriculum)).orderBy("position", "rank", "lap", "first_at")
-    return ordered.select(*[F.col(new).alias(old) for old, new in names.items()])
+    return ordered.select(*[F.col(new).alias(old) for old, new in names])
 
 
 ORACLE_SQL = """
@@ -161,9 +159,17 @@ placed AS (
   SELECT s.doc_id, s.size, a.source_size, a.rank, a.target,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash, s.size, s.doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_at
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::BIGINT - first_at))
-   + greatest(0, least(size, floor(target)::BIGINT - source_size - first_at)))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+mixed AS (
+  SELECT doc_id, size, source_size, target, rank,
+    (greatest(0, least(size, floor(target)::BIGINT - first_at))
+     + greatest(0, least(size, floor(target)::BIGINT - source_size - first_at)))::BIGINT AS taken,
+    least((first_at + size / 2.0::DOUBLE) / target, 1.0::DOUBLE) AS share
+  FROM placed)
+SELECT doc_id, size, source_size, target, taken,
+  round(CASE WHEN taken > 0 AND target > 0 THEN CASE rank % 3
+    WHEN 0 THEN 2.0 * share / (1.5 + sqrt(2.25 - 2.0 * share))
+    WHEN 1 THEN share
+    ELSE 2.0 * share / (0.5 + sqrt(0.25 + 2.0 * share)) END END, 9) AS position
+FROM mixed
 """

@@ -33,7 +33,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.llm.common import copied, saved
+
 STEP = 8  #: dimensions in a block
 
 
@@ -39,14 +41,15 @@ def norms_left(columns: np.ndarray) -> np.ndarray:
     return np.sqrt(np.vstack([left, np.zeros((1, columns.shape[1]))]))
 
 
-def search(query: np.ndarray, query_left: np.ndarray, columns: np.ndarray, left: np.ndarray, ids: np.ndarray, own: int, k: int, floor_: float) -> tuple[np.ndarray, np.ndarray]:
-    """(score, id) of the candidates that may be among the query's k best, given that k others reach floor_.
+def search(
+    query: np.ndarray, query_left: np.ndarray, columns: np.ndarray, left: np.ndarray, alive: np.ndarray, k: int, floor_: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(score, place) of those of the `alive` columns that may be among the query's k best, given that k others reach floor_.
 
     The bound on what is left is the product of lengths (Cauchy-Schwarz), widened by its rounding.
     """
     shared = min(len(query), len(columns))
     query, columns = query[:shared], columns[:shared]
-    alive = np.flatnonzero(ids != own)
     scores = np.zeros(len(alive), columns.dtype)
     seeds = alive[:64]
     if len(seeds) >= k:
@@ -60,20 +63,28 @@ def search(query: np.ndarray, query_left: np.ndarray, columns: np.ndarray, left:
             alive, scores = alive[keep], scores[keep]
         if not len(alive):
             break
-    return scores, ids[alive]
+    return scores, alive
+
+
+FACTS = ("ids", "names", "copies")  #: of each candidate in a block
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, by: int = 256, block: int = 4096, queries: int = 512, spread: int = 48) -> DataFrame:
+def exact_top_k(
+    vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, by: int = 256, block: int = 4096, queries: int = 8192, spread: int = 48
+) -> DataFrame:
     """(query_id, rank, key, score): the k highest integer inner products of every query with all other rows.
 
     is_query, over vectors, picks the queries. Vectors of null key, or null, or holding null or non-finite components take
-    no part; a shorter vector counts as filled up with zeros. A row is its key's: rows that repeat a query's key are not
-    its candidates, rows that repeat another key are one candidate each. Ties go to the smaller key. Candidates are packed
-    in blocks of `block` where they are read; queries in blocks of about `queries`, which are sent to each of `spread`
-    shares of the candidate blocks. Each share keeps k for each query; fewer than k candidates give what there is.
+    no part; a shorter vector counts as filled up with zeros. Every row but the query's own is a candidate, rows that repeat
+    its key or are equal to it too; ties go to the smaller key. A query row that is there twice gives its answer twice.
+    Rows equal in key and vector are one candidate with a number, so results don't depend on their order. Candidates are
+    packed in blocks of `block`; queries in groups of about `queries`, which are sent to each of `spread` shares of the
+    blocks, so what is shuffled is the candidates once a group and the queries once a share. Each share keeps k for each
+    query; fewer than k candidates give what there is.
     """
     usable = vectors.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), by).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked = usable.where("q").dropDuplicates(["id"])
+    rows = saved(usable.groupBy("id", "v").agg(F.count("*").alias("n"), F.count_if("q").alias("asks")).withColumn("name", F.xxhash64("id", "v")))
+    asked = rows.where("asks > 0")
     n = max(1, -(-asked.count() // queries))
     spread = max(spread, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -84,20 +95,21 @@ def exact_top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vecto
                 values = part.column("v")
                 offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
                 grid = columns_of([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                ids = part.column("id").to_numpy()
-                arrays = [pa.array([int(ids[0] if len(ids) else 0)]), pa.array([grid.shape[0]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([grid.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["first", "dims", "ids", "grid"])
+                facts = [part.column(c).to_numpy() for c in ("id", "name", "n")]
+                arrays = [pa.array([int(facts[1][0])]), pa.array([grid.shape[0]], pa.int32()), *[pa.array([f.tobytes()], pa.binary()) for f in (*facts, grid)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["first", "dims", *FACTS, "grid"])
 
-    packed = usable.select("id", "v").mapInArrow(pack, "first long, dims int, ids binary, grid binary")
-    offered = packed.select("dims", "ids", "grid", F.pmod(F.xxhash64("first"), F.lit(spread)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("group"))
-    grouped = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("group")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    packed = rows.select("id", "v", "name", "n").mapInArrow(pack, "first long, dims int, ids binary, names binary, copies binary, grid binary")
+    offered = packed.select("dims", *FACTS, "grid", F.pmod(F.xxhash64("first"), F.lit(spread)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("group"))
+    grouped = asked.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias("group")).agg(F.collect_list(F.struct("id", "name", "v")).alias("asked"))
     sent = grouped.select("group", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("share"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        none = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
+                ids, names, copies = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in FACTS)
                 grid = np.frombuffer(batch.column("grid")[row].as_py(), np.int64).reshape(batch.column("dims")[row].as_py(), len(ids))
                 asked = batch.column("asked")[row].values
                 values = asked.field("v")
@@ -105,35 +117,37 @@ def exact_top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vecto
                 exact = max(len(grid), 1) * float(np.abs(grid).max(initial=1)) * float(np.abs(flat).max(initial=1)) < 2**52
                 grid = grid.astype(float) if exact else grid
                 left = norms_left(grid)
-                for i, own in enumerate(asked.field("id").to_pylist()):
+                for i, own in enumerate(zip(asked.field("id").to_pylist(), asked.field("name").to_pylist(), strict=True)):
                     q = flat[offsets[i] : offsets[i + 1]].astype(grid.dtype)
-                    s, c = best.get(own, (np.zeros(0), np.zeros(0, np.int64)))
-                    floor_ = s[-1] if len(s) == k else -np.inf
+                    s, c, t = best.get(own, none)
                     width = max(len(q), len(grid))
                     q_left = norms_left(np.pad(q, (0, width - len(q)))[:, None])[:, 0]
-                    found, names = search(q, q_left, grid, left, ids, own, k, floor_)
-                    s, c = np.concatenate([s.astype(found.dtype), found]), np.concatenate([c, names])
+                    others = copies - ((ids == own[0]) & (names == own[1]))
+                    found, places = search(q, q_left, grid, left, np.flatnonzero(others), k, s[-1] if len(s) == k else -np.inf)
+                    s, c, t = (np.concatenate(x) for x in ((s.astype(found.dtype), found), (c, ids[places]), (t, others[places])))
                     order = np.lexsort((c, -s))[:k]
-                    best[own] = s[order], c[order]
-        rows = [(own, int(c), int(s)) for own, (ss, cs) in best.items() for s, c in zip(ss, cs, strict=True)]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "score"])
+                    best[own] = s[order], c[order], t[order]
+        rows = [(*own, int(c), int(s), min(int(t), k)) for own, found in best.items() for s, c, t in zip(*found, strict=True)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "name", "id", "score", "copies"])
 
-    met = offered.join(sent, ["group", "share"]).select("dims", "ids", "grid", "asked")
-    near = met.mapInArrow(probe, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+    met = offered.join(sent, ["group", "share"]).select("dims", *FACTS, "grid", "asked")
+    near = copied(met.mapInArrow(probe, "query_id long, name long, id long, score long, copies long"), "copies", "copy")
+    order = Window.partitionBy("query_id", "name").orderBy(F.col("score").desc(), "id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "name", "rank", "id", "score")
+    times = asked.select(F.col("id").alias("query_id"), "name", "asks")
+    answers = copied(ranked.join(times, ["query_id", "name"]), "asks", "copy")
+    return answers.select("query_id", "rank", F.col("id").alias(key), "score")
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS at, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(embedding) = len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)])),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.at, q.vec_id AS query_id, c.vec_id AS vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM v q JOIN v c ON q.at <> c.at WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

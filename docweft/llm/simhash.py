@@ -159,32 +159,44 @@ def near_duplicates(
     fingerprint 0 and link like any other; null keys get a component but never name one (all null: null). Repeated rows
     come out as often as they came in; an empty table gives no rows.
     """
-    return _grouped(docs, key, text, width, seed, bits).select(F.col("key").alias(key), "fp", "component_id")
+    rows = saved(fingerprints(docs, key, text, width, seed))
+    return _grouped(rows, bits).select(F.col("key").alias(key), "fp", "component_id")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, width: int, seed: int, bits: int) -> DataFrame:
-    """(key, fp, root, component_id) for every row; root, the group's least fingerprint, tells groups apart."""
-    rows = saved(fingerprints(docs, key, text, width, seed))
+def _grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (key, fp, and more), which are saved, with root and component_id; root, the group's least fingerprint, tells groups apart."""
     nodes = rows.groupBy("fp").agg(F.min("key").alias("first"))
     roots = saved(connected_components(links(nodes.select("fp"), bits)))
     classed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = saved(classed.join(least, "root").select("fp", "root", "component_id"))
-    return rows.join(named, "fp").select("key", "fp", "root", "component_id")
+    return rows.join(named, "fp")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
-    """docs with one row of each near-duplicate group: that with the smallest key (one of the rows that share it).
+    """docs with one row of each near-duplicate group: that with the smallest key, of rows that share it that whose text's hash is least.
 
-    All columns stay. Rows with a null key stay only where their whole group has no key, one for the group.
+    All columns stay, whatever their names and types. Rows with a null key stay only where their whole group has no key,
+    one for the group. Of rows equal in key and text the one whose other columns are least stays; columns that have no
+    order, such as maps, don't count, and of rows that differ in those alone any may stay. Null and empty texts are one
+    text; an empty table gives no rows.
     """
-    rows, names = numbered_columns(docs)
+    marked = keyed(docs, key, text).withColumn("hash", F.xxhash64("text"))
+    printed = text_pass(marked, [T.StructField("fp", T.LongType())], _column(width, seed))
+    first = _grouped(saved(printed), bits).groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "hash")).alias("m"))
     key_text = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
-    classes = _grouped(docs, key, text, width, seed, bits)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "fp")).alias("m"))
-    stays = first.select(key_text(F.col("m.key")).alias("k"), F.col("m.fp").alias("fp"))
-    printed = text_pass(rows, [T.StructField("fp", T.LongType())], _column(width, seed), names[text], keep=True)
-    kept = printed.withColumn("k", key_text(F.col(names[key]))).join(stays, ["k", "fp"], "left_semi")
-    whole = F.struct(*names.values())
-    one = kept.select("k", "fp", whole.alias("row")).groupBy("k", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return one.select(*[F.col(f"row.{new}").alias(old) for old, new in names.items()])
+    stays = first.select(key_text(F.col("m.key")).alias("k"), F.col("m.hash").alias("hash"))
+    rows, names = numbered_columns(docs)
+    hashed = F.xxhash64(F.coalesce(F.col(names[text]).cast("string"), F.lit("")))
+    kept = rows.withColumns({"k": key_text(F.col(names[key])), "hash": hashed}).join(stays, ["k", "hash"], "left_semi")
+    ordered = [f.name for f in rows.schema.fields if f.name not in (names[key], names[text]) and has_order(f.dataType)]
+    whole = F.struct(*[new for _, new in names])
+    one = kept.groupBy("k", "hash").agg(F.min_by(whole, F.struct(F.lit(0), *ordered)).alias("row"))
+    return one.select(*[F.col(f"row.{new}").alias(old) for old, new in names])
+
+
+def has_order(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, T.StructType):
+        return all(has_order(f.dataType) for f in kind.fields)
+    return has_order(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))

@@ -132,6 +132,14 @@ def test_simhash_components(docs, empty):
     assert kept.where("doc_id IS NULL").count() == sum(v is None for v in least.values())
 
 
+def test_one_of_each_takes_any_columns(spark):
+    rows = [(1, "a b c d", {"x": 1}, 5, "u"), (1, "a b c d", {"y": 2}, 4, "v"), (2, "A b c d", None, 1, "w"), (3, None, None, None, None), (4, "", {}, 0, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>, hash int, k string").toDF("doc_id", "text", "more", "hash", "hash")
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(tuple(r)[0] for r in kept.collect()) == [1, 3]
+    assert [tuple(r)[3:] for r in kept.collect() if r[0] == 1] == [(4, "v")]
+
+
 def test_groups_without_a_key_of_their_own_each_keep_a_row(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(4)]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3])]
@@ -230,6 +238,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.deduplicate(empty).count() == 0
 
 
+def brute_positions(r, rank, source):
+    """(time, key, source) of each copy that the mix takes of a row: the middle of its words, in words of its source's demand."""
+    knots = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))[rank % 3]
+    out = []
+    for lap in range(2):
+        begins = lap * r.source_size + r.first_at
+        if r.size and begins < math.floor(r.target):
+            share, low, high = min((begins + r.size / 2) / r.target, 1.0), 0.0, 1.0
+            for _ in range(60):  # the integral of the weight up to t is met by bisection
+                t = (low + high) / 2
+                done = knots[0][1] * t + (knots[1][1] - knots[0][1]) * t * t / 2
+                low, high = (t, high) if done < share else (low, t)
+            out.append((low, r.doc_id, source))
+    return out
+
+
 def test_mixing_meets_targets(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)
@@ -258,8 +282,16 @@ def test_mixing_meets_targets(docs, empty):
     assert bag(mixing.mix(docs).collect()) == bag(got)
     times = [r.position for r in got if r.position is not None]
     assert times == sorted(times) and 0 <= times[0] and times[-1] <= 1
+    least = {}  # equal rows share the laps of the first of them
+    for r in got:
+        least[r.doc_id, r.size] = min(least.get((r.doc_id, r.size), r), r, key=lambda x: x.first_at)
+    laps = [x for r in got for x in brute_positions(least[r.doc_id, r.size], order.index(source[r.doc_id, r.size]), source[r.doc_id, r.size])]
+    for r in got:
+        first = brute_positions(r, order.index(source[r.doc_id, r.size]), None)
+        assert (r.position is None) == (r.taken == 0) and (r.taken == 0 or math.isclose(r.position, first[0][0], abs_tol=1e-9))
     rows = mixing.mixed(docs)
-    assert rows.columns == docs.columns and 0 < rows.count() <= 2 * len(ROWS)
+    assert rows.columns == docs.columns
+    assert [(r.doc_id, r.source) for r in rows.collect()] == [(k, s) for _, k, s in sorted(laps, key=lambda x: x[0])]
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
@@ -292,6 +324,7 @@ def test_lm_base_is_exact(docs, empty):
 
 
 def brute_scores(rows, m=200.0):
+    """Scores with quantised counts of pairs, and no false positives."""
     tokens = [(k, [*(t or "").encode().lower().split(), b""]) for k, t, _ in rows]
     ones, twos = Counter(), Counter()
     for k, w in tokens:
@@ -299,15 +332,39 @@ def brute_scores(rows, m=200.0):
             ones.update(w)
             twos.update(zip([b"", *w], w, strict=False))
     n, v = sum(ones.values()), len(ones)
-    p = lambda h, x: (twos[h, x] + m * (ones[x] + 1) / (n + v + 1)) / (ones[h] + m)
-    return Counter((k, len(w), round(sum(math.log10(p(h, x)) for h, x in zip([b"", *w], w, strict=False)), 4)) for k, w in tokens)
+
+    def middle(count):
+        level = max((i for i in range(100) if math.ceil(2 ** (i / 2) - 1e-9) <= count), default=None)
+        if level is None:
+            return 0
+        low, high = (math.ceil(2 ** (i / 2) - 1e-9) for i in (level, level + 1))
+        return (low + high - 1) / 2
+
+    p = lambda h, x: (min(middle(twos[h, x]), ones[h], ones[x]) + m * (ones[x] + 1) / (n + v + 1)) / (ones[h] + m)
+    scores = [(k, len(w), round(sum(math.log10(p(h, x)) for h, x in zip([b"", *w], w, strict=False)), 4)) for k, w in tokens]
+    return Counter(scores), sum(p(b"the", x) for x in ones) + m / (n + v + 1) / (ones[b"the"] + m)
 
 
-def test_lm_keeps_every_count_in_bounded_shards(docs):
+def test_lm_scores_by_quantised_counts_in_bounded_shards(docs):
     train = in_training(F.col("doc_id"), 7, 2)
+    want, whole = brute_scores(ROWS)
     for block_bytes, shard_bytes in ((400, 500), (1 << 24, 300), (3000, 1 << 23)):
-        got = lm.score(docs, train, block_bytes=block_bytes, shard_bytes=shard_bytes).collect()
-        assert Counter((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == brute_scores(ROWS)
+        got = lm.score(docs, train, block_bytes=block_bytes, shard_bytes=shard_bytes, bits_a_member=200).collect()
+        assert Counter((r.doc_id, r.n_tokens, round(r.score, 4)) for r in got) == want
+    assert abs(whole - 1) < 0.05  # all known words and one unknown word after one word
+    close = lm.score(docs, train).collect()
+    assert abs(sum(r.score for r in close) / sum(s * n for (_, _, s), n in want.items()) - 1) < 0.01
+
+
+def test_lm_gibberish_scores_below_held_out_text(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    zipf = [1 / (i + 1) for i in range(len(words))]
+    rows = [(i, " ".join(rng.choices(words, zipf, k=60))) for i in range(400)]
+    rows += [(1000 + i, " ".join("".join(rng.choice("qrstuvwxyz") for _ in range(5)) for _ in range(60))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.read.parquet(str(tmp_path / "docs")), F.col("doc_id") < 360).collect()}
+    assert max(got[1000 + i] for i in range(40)) < min(got[i] for i in range(360, 400))
 
 
 def test_lm_unknown_words_cost_more_than_known_ones(spark, tmp_path):
@@ -324,20 +381,18 @@ def test_lm_gathers_pairs_of_rare_words(spark, tmp_path):
     assert got[1000] > got[1001] + 0.1
 
 
-def test_filter_levels(spark):
+def test_filter_levels():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     counts = np.maximum(1, (rng.pareto(1, 3000) * 2).astype(int))
-    levels = lm_filter.level_of(counts.astype(float))
-    assert (levels[counts == 1] == 1).all() and (np.diff(lm_filter.count_of(np.arange(3, 40))) > 0).all()
-    rows = [(int(k), int(q)) for k, q in zip(keys.view(np.int64), levels, strict=True)]
-    bits, chunk_bits, least = lm_filter.build(spark.createDataFrame(rows, "key long, level int"), 1 << 24)
-    filter_ = lm_filter.Filter(bits, chunk_bits)
-    got = filter_.levels(keys)
-    assert least == 1 and (got >= levels).all() and (got == levels).mean() > 0.97
-    assert (filter_.levels(rng.integers(0, 2**63, 3000).astype(np.uint64)) == 0).mean() > 0.97
-    small, chunk_bits, least = lm_filter.build(spark.createDataFrame(rows, "key long, level int"), 1 << 16)
-    assert least > 1 and len(small) * 8 <= 1 << 17
+    levels = lm_filter.level_of(counts)
+    assert lm_filter.level_of(np.arange(9)).tolist() == [0, 1, 2, 3, 4, 4, 5, 5, 6] and lm_filter.count_of(np.arange(7)).tolist() == [0, 1, 2, 3, 4.5, 6.5, 9.5]
+    assert (np.abs(lm_filter.count_of(levels) / counts - 1) < 0.25).all()
+    grams = lm_filter.Filter(keys, levels)
+    got = grams.levels(keys)
+    assert (got >= levels).all() and (got == levels).mean() > 0.97
+    assert (grams.levels(rng.integers(0, 2**63, 3000).astype(np.uint64)) == 0).mean() > 0.97
+    assert len(grams.bits) * 8 <= levels.sum() * 12 + 8 and not lm_filter.Filter(keys[:0], levels[:0]).levels(keys).any()
 
 
 def brute_measures(t):
@@ -382,6 +437,8 @@ def test_toxicity_learns(spark, docs, empty):
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = frame.select("doc_id", "toxic")
     model = toxicity.fit(frame.drop("toxic"), labels, may_learn=in_training(F.col("doc_id"), 5, 0))
+    twice = toxicity.score(frame.withColumn("score", F.lit("old")), model)
+    assert twice.columns == [*frame.columns, "score"] and dict(twice.dtypes)["score"] == "double"
     scored = toxicity.score(frame, model).where("crc32(cast(doc_id as string)) % 5 = 0").collect()
     assert np.mean([(r.score >= 0.5) == bool(r.toxic) for r in scored]) > 0.95
     kept = toxicity.without_toxic(frame, model)
@@ -407,20 +464,21 @@ def test_top_k_is_exact(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=20)], 1) for i in range(400)]
     rows += [(1000 + i, rows[i % 3][1], 2) for i in range(30)]  # ties
+    rows += [(50, rows[50][1], 3), (50, rows[51][1], 3), (7, rows[7][1], 3), (7, rows[9][1], 3)]  # repeated rows and keys
     rows += [(2000, None, 0), (2050, [1.0, None], 0), (2100, [float("nan")] * 20, 0), (2150, [float("inf")] * 20, 0), (2200, [1.0, 2.0], 0), (None, [1.0] * 20, 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(5)
     got = topk.exact_top_k(frame, F.col("vec_id") % 50 == 0, block=64, queries=4).collect()
-    usable = {}
+    usable = []
     for k, v, _ in rows:
         if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             w = [math.floor(256 * float(np.float32(x))) for x in v]
-            usable[k] = w + [0] * (20 - len(w))
-    want = set()
-    for q in usable:
+            usable.append((k, w + [0] * (20 - len(w))))
+    want = Counter()
+    for i, (q, x) in enumerate(usable):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), k) for k, v in usable.items() if k != q)[:5]
-            want |= {(q, i + 1, k, -s) for i, (s, k) in enumerate(best)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), k) for j, (k, v) in enumerate(usable) if j != i)[:5]
+            want.update((q, r + 1, k, -s) for r, (s, k) in enumerate(best))
+    assert bag(got) == want
     assert topk.exact_top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 

@@ -56,7 +56,7 @@ class Block:
 class Replies:
     """What a task has for the words of each block, sent as one compressed row a block: (block, reply, null)."""
 
-    def __init__(self, rows: int = 400_000):
+    def __init__(self, rows: int = 200_000):
         self.rows, self.held, self.parts = rows, 0, []
 
     def add(self, blocks: pa.Array, numbers: pa.Array, values: pa.Array) -> Iterator[pa.RecordBatch]:

@@ -209,7 +209,7 @@ def pretokens_of_piece(pattern: str):
 class PieceNumbers(dict):
     """A piece that had a space before it to its pre-tokens' numbers; emptied at `most` pieces."""
 
-    def __init__(self, words: Numbers, match, most: int = 250_000):
+    def __init__(self, words: Numbers, match, most: int = 60_000):
         self.words, self.match, self.most = words, match, most
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -262,7 +262,7 @@ class DistinctPreTokens:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 24
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 23
 ) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids by the ranks at path (.tiktoken), as little-endian unsigned 32-bit integers.
 

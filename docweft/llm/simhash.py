@@ -49,7 +49,7 @@ def fingerprint_batch(texts: list[str], width: int = 3, seed: int = 42) -> np.nd
             hashes.append(digest(b" ".join(words), seed))
         else:
             hashes += [digest(b" ".join(s), seed) for s in zip(*(words[i:] for i in range(width)), strict=False)]
-        if len(hashes) > 200_000:
+        if len(hashes) > 30_000:
             flush()
     flush()
     return out

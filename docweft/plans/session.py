@@ -10,10 +10,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: What goes between the executor and its Python workers at a time: Spark's default, and what serves rows that hold whole texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (f"{64 << 20}b", f"{4 << 20}b")}
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package: its sources go out once a Spark application, through Spark's file server."""
+    with_small_batches(spark)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -26,6 +29,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """Make Arrow batches smaller, where the session leaves them at Spark's default.
+
+    The buffers of large ones stay with the executor, which has to have room for its Python workers too.
+    """
+    for key, (default, ours) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+    return spark
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Make checkpoint() usable: the folder that the cluster names, or one in the warehouse where none is named."""
     context = spark.sparkContext

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.plans.session import saved, with_checkpoints
+from docweft.plans.session import saved, with_checkpoints, with_small_batches
 
 __all__ = ["saved", "with_checkpoints"]
 
@@ -44,6 +44,7 @@ def is_held_out(key: Column, modulus: int, held: int) -> Column:
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The key and the text alone, as `key` and `text` (null text: empty); other columns can't clash, of columns of one name the first counts."""
+    with_small_batches(docs.sparkSession)
     rows, names = numbered_columns(docs)
     return rows.select(F.col(names[key]).alias("key"), F.coalesce(F.col(names[text]).cast("string"), F.lit("")).alias("text"))
 
@@ -52,6 +53,7 @@ def text_pass(
     rows: DataFrame, fields: list[T.StructField], each: Callable[[list[str | None]], list[pa.Array]], text: str = "text", keep: bool = False
 ) -> DataFrame:
     """rows with fields added, which each() makes of a batch of texts; the text column goes unless keep is set."""
+    with_small_batches(rows.sparkSession)
     kept = [f for f in rows.schema.fields if keep or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from docweft.llm.blocks import Block, Numbers, Replies, copies, cut, open_block, shut_block
 from docweft.llm.common import lower_words_of, saved
 from docweft.llm.lm_filter import BITS_A_MEMBER, Filter, count_of, level_of, mix
+from docweft.plans.session import with_small_batches
 
 END = b""  #: the token that ends a text, and stands before its first word
 UNIT = np.dtype("<i8")
@@ -149,7 +150,7 @@ def score(
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
     )
     key_type = rows.schema["key"].dataType
-    spark = docs.sparkSession
+    with_small_batches(docs.sparkSession)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in cut(batches, Words, block_bytes, ("train",)):

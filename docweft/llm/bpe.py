@@ -262,7 +262,7 @@ class DistinctPreTokens:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 23
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 12 << 20
 ) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids by the ranks at path (.tiktoken), as little-endian unsigned 32-bit integers.
 

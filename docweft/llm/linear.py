@@ -1,8 +1,8 @@
 """Logistic regression over hashed binary features, fitted by Spark jobs on a bounded sample.
 
-A row's features are the sorted bucket numbers it has, as little-endian unsigned 32-bit integers. Each round sends the
-weights of the buckets in use out and adds up one gradient a task; rows never reach the driver. The rounds are plain jobs
-over packed partitions, not queries: a query a round would leave its plan and its generated code with the driver.
+A row's features are the sorted bucket numbers it has, as little-endian unsigned 32-bit integers. The sample is packed and
+checkpointed once; each round broadcasts the weights of the buckets in use, adds up one gradient a task, and releases them.
+Rows never reach the driver, and a round's plan is a scan and one Arrow pass.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark import RDD, StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,44 +18,47 @@ from docweft.llm.common import saved
 
 #: Rows that are packed together; what a task holds at a time.
 PACK = 128
+TYPES = {"y": "<f8", "sizes": "<i4", "flat": "<u4"}
 
 Pack = tuple[np.ndarray, np.ndarray, np.ndarray]  #: labels, numbers of features, features
 
 
-def packed(rows: DataFrame, tasks: int = 8) -> RDD:
+def packed(rows: DataFrame, tasks: int = 8) -> DataFrame:
     """Packs of the rows' (y, idx), in a fixed number of partitions: what the rounds send to the driver is bounded too."""
 
-    def run(part: Iterator) -> Iterator[Pack]:
-        held: list = []
-        for row in part:
-            held.append(row)
-            if len(held) == PACK:
-                yield _pack(held)
-                held = []
-        if held:
-            yield _pack(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK):
+                part = batch.slice(at, PACK)
+                idx = [np.frombuffer(b, "<u4") for b in part.column("idx").to_pylist()]
+                yield _row((part.column("y").to_numpy(zero_copy_only=False), np.array([len(i) for i in idx]), np.concatenate(idx)))
 
-    return saved(rows.select("y", "idx")).rdd.coalesce(tasks).mapPartitions(run)
+    return saved(rows.select("y", "idx").coalesce(tasks).mapInArrow(run, ", ".join(f"{c} binary" for c in TYPES)))
 
 
-def _pack(rows: list) -> Pack:
-    idx = [np.frombuffer(r.idx, "<u4") for r in rows]
-    return np.array([r.y for r in rows], float), np.array([len(i) for i in idx]), np.concatenate(idx)
+def _row(pack: Pack) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in zip(pack, TYPES.values(), strict=True)], list(TYPES))
 
 
-def sums(packs: RDD, each: Callable[[Pack], list[np.ndarray]]) -> list[np.ndarray] | None:
-    """The sums over all packs of the arrays that each() gives, as float64; None without any pack."""
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:
+    for batch in batches:
+        for blobs in zip(*(batch.column(c) for c in TYPES), strict=True):
+            yield tuple(np.frombuffer(b.as_buffer(), t) for b, t in zip(blobs, TYPES.values(), strict=True))
 
-    def run(part: Iterator[Pack]) -> Iterator[list[np.ndarray]]:
+
+def sums(packs: DataFrame, each: Callable[[Pack], list[np.ndarray]], n: int) -> list[np.ndarray] | None:
+    """The sums over all packs of the n arrays that each() gives, as float64; None without any pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for pack in part:
+        for pack in _packs(batches):
             got = each(pack)
             total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
         if total is not None:
-            yield [t.astype(np.float32) for t in total]
+            yield pa.RecordBatch.from_arrays([pa.array([t.astype("<f4").tobytes()], pa.binary()) for t in total], [f"s{i}" for i in range(n)])
 
-    found = packs.mapPartitions(run).collect()
-    return [np.sum([f[i] for f in found], axis=0, dtype=float) for i in range(len(found[0]))] if found else None
+    found = packs.mapInArrow(run, ", ".join(f"s{i} binary" for i in range(n))).collect()
+    return [np.sum([np.frombuffer(r[i], "<f4") for r in found], axis=0, dtype=float) for i in range(n)] if found else None
 
 
 def rows_of(sizes: np.ndarray) -> np.ndarray:
@@ -63,7 +66,7 @@ def rows_of(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
 
 
-def log_count_ratios(packs: RDD, dims: int, alpha: float = 2.0, errors: float = 2.0) -> np.ndarray:
+def log_count_ratios(packs: DataFrame, dims: int, alpha: float = 2.0, errors: float = 2.0) -> np.ndarray:
     """Naive Bayes log-count ratio of each bucket: how much likelier rows with y = 1 have it than rows with y = 0.
 
     Ratios shrink towards zero by `errors` of their standard errors, so a bucket that few rows have counts for nothing.
@@ -75,7 +78,7 @@ def log_count_ratios(packs: RDD, dims: int, alpha: float = 2.0, errors: float =
         of = y[rows_of(sizes)]
         return [np.bincount(flat, of, dims), np.bincount(flat, 1 - of, dims)]
 
-    found = sums(packs, each)
+    found = sums(packs, each, 2)
     return np.zeros(dims, np.float32) if found is None else shrunk_ratios(*found, alpha, errors)
 
 
@@ -88,33 +91,32 @@ def shrunk_ratios(p: np.ndarray, q: np.ndarray, alpha: float, errors: float) ->
     return np.nan_to_num(np.sign(ratio) * np.maximum(np.abs(ratio) - errors * error, 0), posinf=0, neginf=0).astype(np.float32)
 
 
-def only(packs: RDD, used: np.ndarray, dims: int) -> RDD:
+def only(packs: DataFrame, used: np.ndarray, dims: int) -> DataFrame:
     """The packs with the used buckets alone, under their places in `used`."""
     place = np.full(dims, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    sent = packs.context.broadcast(place)
 
-    def cut(pack: Pack) -> Pack:
-        y, sizes, flat = pack
-        now = sent.value[flat]
-        keep = now >= 0
-        return y, np.bincount(rows_of(sizes)[keep], minlength=len(sizes)), now[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, sizes, flat in _packs(batches):
+            now = place[flat]
+            keep = now >= 0
+            yield _row((y, np.bincount(rows_of(sizes)[keep], minlength=len(sizes)), now[keep]))
 
-    return packs.map(cut)
+    return saved(packs.mapInArrow(run, packs.schema))
 
 
-def fit(packs: RDD, dims: int, scale: np.ndarray | None = None, rounds: int = 30, l2: float = 1e-2, step: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(packs: DataFrame, dims: int, scale: np.ndarray | None = None, rounds: int = 30, l2: float = 1e-2, step: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights by bucket (times scale) and bias; y may be soft, 0 to 1. Adam on the full sample.
 
     A bucket of scale 0 has no gradient, so only the others are looked at.
     """
     used = np.arange(dims) if scale is None else np.flatnonzero(scale)
     scale = np.ones(dims) if scale is None else scale[used].astype(float)
-    mine = (packs if len(used) == dims else only(packs, used, dims)).persist(StorageLevel.DISK_ONLY)
-    n = len(used)
+    mine = packs if len(used) == dims else only(packs, used, dims)
+    n, context = len(used), packs.sparkSession.sparkContext
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        sent = mine.context.broadcast(((w[:-1] * scale).astype(np.float32), w[-1]))
+        sent = context.broadcast(((w[:-1] * scale).astype(np.float32), w[-1]))
 
         def each(pack: Pack, sent=sent) -> list[np.ndarray]:
             y, sizes, flat = pack
@@ -122,12 +124,11 @@ def fit(packs: RDD, dims: int, scale: np.ndarray | None = None, rounds: int = 30
             off = logistic(np.bincount(of, weights[flat], len(sizes)) + bias) - y
             return [np.bincount(flat, off[of], n), np.array([off.sum(), len(y)])]
 
-        found = sums(mine, each)
+        found = sums(mine, each, 2)
         sent.destroy()
         if found is None or found[1][1] == 0:
             break
         w, m, v = adam(w, m, v, np.append(found[0] * scale, found[1][0]) / found[1][1], l2, t, step * (1 - t / (rounds + 1)))
-    mine.unpersist()
     out = np.zeros(dims, np.float32)
     out[used] = w[:-1] * scale
     return out, float(w[-1])

@@ -142,12 +142,12 @@ def exact_top_k(
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS at, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS pos, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(embedding) = len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)])),
 scored AS (
-  SELECT q.at, q.vec_id AS query_id, c.vec_id AS vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
-  FROM v q JOIN v c ON q.at <> c.at WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.pos, q.vec_id AS query_id, c.vec_id AS vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM v q JOIN v c ON q.pos <> c.pos WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -486,3 +486,21 @@ def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, j) for j in range(1001, 1100)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[j] == 1000 for j in range(1000, 1100)) and len(got) == 161
+
+
+def test_queries_agree_with_their_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from docweft.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for p in Path(folder).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    for name, sql in queries.oracle_sql().items():
+        frame = queries.queries()[name](spark, folder)
+        columns = ", ".join(sorted(frame.columns))
+        want = Counter(tuple(map(str, r)) for r in con.sql(f"SELECT {columns} FROM ({sql})").fetchall())
+        assert Counter(tuple(map(str, r)) for r in frame.select(*sorted(frame.columns)).collect()) == want, name

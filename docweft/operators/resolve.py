@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.functions.text import slugify, strip
+from docweft.functions.text import slugify
 
 
 def first_of_each(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -21,21 +21,21 @@ def heading_targets(headings: DataFrame, document: list[str], order: list[str],
     return first_of_each(headings.select(*document, own.alias("id"), *order, text).where("id <> ''"), [*document, "id"], order)
 
 
-def resolve(refs: DataFrame, targets: DataFrame, target: str, id: str, document: list[str] | None = None) -> DataFrame:
-    """refs with the matching target's columns, null where none is: by exact id, else by id without regard to case.
+def resolve(refs: DataFrame, targets: DataFrame, target: str, id: str, document: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """refs with the matching target's columns, null where none is.
 
-    Of targets that differ in case alone the first by id serves. Target ids are unique within a document.
+    A target matches by its exact id; else by the id that is the reference in lower case; else of those that are equal
+    without regard to case the first in order (by default, by id). Target ids are unique within a document.
     """
-    document = document or []
-    exact = targets.select(*[F.col(d).alias(f"_e{d}") for d in document], F.col(id).alias("_exact"), F.struct(*targets.columns).alias("_a"))
-    folded = targets.groupBy(*document, F.lower(id).alias("_fold")).agg(F.min_by(F.struct(*targets.columns), F.col(id)).alias("_b"))
-    folded = folded.select(*[F.col(d).alias(f"_f{d}") for d in document], "_fold", "_b")
-    where = lambda c, p: F.lit(True) if not document else _all([F.col(d) == F.col(f"{p}{d}") for d in document])
-    joined = refs.join(exact, (F.col(target) == F.col("_exact")) & where(exact, "_e"), "left")
-    joined = joined.join(folded, (F.lower(target) == F.col("_fold")) & where(folded, "_f"), "left")
-    found = F.coalesce("_a", "_b")
-    rest = [c for c in targets.columns if c not in document]
-    return joined.select(*[refs[c] for c in refs.columns], *[found[c].alias(c) for c in rest])
+    document, row = document or [], F.struct(*targets.columns)
+    by_id = targets.select(*document, F.col(id).alias("_id"), row.alias("_row"))
+    folded = targets.groupBy(*document, F.lower(id).alias("_id")).agg(F.min_by(row, F.struct(*(order or [id]))).alias("_row"))
+    joined = refs
+    for i, (table, wanted) in enumerate(((by_id, F.col(target)), (by_id, F.lower(target)), (folded, F.lower(target)))):
+        side = table.select(*[F.col(d).alias(f"_d{i}_{d}") for d in document], F.col("_id").alias(f"_id{i}"), F.col("_row").alias(f"_row{i}"))
+        joined = joined.join(side, _all([wanted == F.col(f"_id{i}"), *(F.col(d) == F.col(f"_d{i}_{d}") for d in document)]), "left")
+    found = F.coalesce("_row0", "_row1", "_row2")
+    return joined.select(*refs.columns, *[found[c].alias(c) for c in targets.columns if c not in document])
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -51,14 +51,6 @@ def unresolved(refs: DataFrame, targets: DataFrame, target: str, id: str) -> Dat
     return refs.join(folded, F.lower(target) == F.col("_fold"), "left_anti")
 
 
-def heading_text_links(links: DataFrame, headings: DataFrame, document: list[str], order: list[str], raw: str, text: str) -> DataFrame:
-    """Collapsed references, `[text][]`, joined with the first heading of that text, whatever its case."""
-    fold = lambda c: F.lower(strip(F.col(c)))
-    titles = first_of_each(headings.select(*document, fold(text).alias("_text"), *order), [*document, "_text"], order)
-    wanted = links.withColumn("_text", F.lower(strip(F.regexp_extract(F.col(raw), r"(?s)^\[(.*)\]\[\]$", 1))))
-    return wanted.join(titles, [*document, "_text"], "left").drop("_text")
-
-
 def look_up(rows: DataFrame, name: str, table: dict[str, str], into: str = "value") -> DataFrame:
     """rows with the table's value for a name, null for others. The table is a parameter, held in the plan as a literal."""
     if not table:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docweft.operators.runs import number_runs
 
@@ -47,39 +52,107 @@ def partition_fits(head: Column, bodies: Column, foot: Column, n_rows: Column) -
     return F.coalesce(fine & (total == n_rows), F.lit(False))
 
 
+def by_table(cells: DataFrame, table: str, schema: str, rows_of: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """What rows_of() makes of the cells of each table, in order of row and column, with the table's key before it.
+
+    One shuffle by table and one sort; a task goes through its sorted cells and holds those of one table at a time.
+    """
+    kind = cells.schema[table].dataType
+    fields = T.StructType([T.StructField(table, kind), *T.StructType.fromDDL(schema).fields])
+    names = cells.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done, key_type, types = [], [], None, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
+                columns = zip(*done, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [f.name for f in fields])
+                done.clear()
+
+        for batch in batches:
+            if types is None:
+                key_type = batch.schema.field(table).type
+                types = [key_type, *(to_arrow_type(f.dataType) for f in fields[1:])]
+            for row in batch.to_pylist():
+                if held and held[0][table] != row[table]:
+                    done.extend((held[0][table], *x) for x in rows_of(held))
+                    held = []
+                    if len(done) > 50_000:
+                        yield from flush()
+                held.append(row)
+        if held:
+            done.extend((held[0][table], *x) for x in rows_of(held))
+        yield from flush()
+
+    return cells.repartition(table).sortWithinPartitions(table, "r", "c").select(*names).mapInArrow(run, fields)
+
+
+def origins(cells: list[dict]) -> list[tuple]:
+    """(r, c, row_span, col_span) of one table's cells that stay, see invert_spans()."""
+    spans: dict[tuple[int, int], list[int]] = {}
+    above, line, at = {}, {}, None
+    for cell in cells:
+        r, c = cell["r"], cell["c"]
+        if r != at:
+            above, line, at = line if at == r - 1 else {}, {}, r
+        own = (r, c)
+        if cell["span"] == "col" and c > 0 and c - 1 in line:
+            own = line[c - 1][0]
+        elif cell["span"] == "row" and c in above and above[c][1] == cell["section"]:
+            own = above[c][0]
+        line[c] = own, cell["section"]
+        span = spans.setdefault(own, [1, 1])
+        if own != (r, c) and cell["span"] == "row":
+            span[0] = max(span[0], r - own[0] + 1)
+        elif own != (r, c) and r == own[0]:
+            span[1] = max(span[1], c - own[1] + 1)
+    return [(*place, *span) for place, span in spans.items()]
+
+
 def invert_spans(cells: DataFrame, table: str, span: Column, section: str) -> DataFrame:
     """(table, r, c, row_span, col_span) of the cells that remain when continuation cells are folded into their origins.
 
     span is `col` for a cell that continues its left neighbour, `row` for one that continues the cell above, null for a
-    plain one. A continuation without neighbour, or with one above in another section, stands for itself. Pointers to
-    the neighbours are followed by doubling: each round joins the pointers with themselves, so the rounds are logarithmic
-    in the longest chain.
+    plain one. A continuation without neighbour, or with one above in another section, stands for itself.
+    """
+    marked = cells.select(table, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(section).cast("int").alias("section"), span.alias("span"))
+    return by_table(marked, table, "r int, c int, row_span int, col_span int", origins)
+
+
+def covered(cells: list[dict]) -> list[tuple]:
+    """(r, c, of_r, of_c, span) of the places of one table that its cells reach, see expand_spans()."""
+    width, out, taken = cells[0]["width"], [], {}
+    rows: dict[int, list[dict]] = {}
+    for cell in cells:
+        rows.setdefault(cell["r"], []).append(cell)
+    for r in range(cells[0]["n_rows"]):
+        todo, c = iter(rows.get(r, ())), 0
+        while c < width:
+            if (r, c) in taken:
+                out.append((r, c, *taken.pop((r, c)), "rowspan"))
+                c += 1
+                continue
+            cell = next((x for x in todo if x["row_span"] is not None), None)
+            if cell is None:
+                out.append((r, c, None, None, None))
+                c += 1
+                continue
+            own, reach = (cell["r"], cell["c"]), min(max(cell["col_span"], 1), width - c)
+            out.append((r, c, *own, None))
+            out.extend((r, c + i, *own, "colspan") for i in range(1, reach))
+            taken.update({(r + k, c + i): own for k in range(1, min(cell["row_span"], cells[0]["n_rows"] - r)) for i in range(reach)})
+            c += max(cell["col_span"], 1)
+    return out
+
+
+def expand_spans(cells: DataFrame, table: str) -> DataFrame:
+    """(table, r, c, of_r, of_c, span): every place of a table's grid, with the cell that fills or reaches it.
+
+    cells: (table, r, c, row_span, col_span, width, n_rows), c counting the cells of a row; a row of null spans stands for a
+    table without cells. A place that no cell fills has null of_r; span says how a place is reached, null by a cell itself.
     """
-    from docweft.plans.session import saved
-
-    marked = cells.select(table, "r", "c", F.col(section).alias("section"), span.alias("span"))
-    above = marked.select(F.col(table).alias("t2"), (F.col("r") + 1).alias("r2"), F.col("c").alias("c2"), F.col("section").alias("s2"))
-    joined = marked.join(above, (F.col(table) == F.col("t2")) & (F.col("r") == F.col("r2")) & (F.col("c") == F.col("c2")), "left")
-    left = (F.col("span") == "col") & (F.col("c") > 0)
-    up = (F.col("span") == "row") & F.col("s2").eqNullSafe(F.col("section")) & F.col("t2").isNotNull()
-    pointers = joined.select(
-        table, "r", "c", "span",
-        F.when(F.coalesce(up, F.lit(False)), F.col("r") - 1).otherwise(F.col("r")).alias("pr"),
-        F.when(F.coalesce(left, F.lit(False)), F.col("c") - 1).otherwise(F.col("c")).alias("pc"),
-    )
-    pointers, moved = saved(pointers), 1
-    while moved:
-        to = pointers.select(F.col(table).alias("t2"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("pr").alias("nr"), F.col("pc").alias("nc"))
-        step = pointers.join(to, (F.col(table) == F.col("t2")) & (F.col("pr") == F.col("r2")) & (F.col("pc") == F.col("c2")))
-        further = saved(step.select(table, "r", "c", "span", "nr", "nc", ((F.col("nr") != F.col("pr")) | (F.col("nc") != F.col("pc"))).alias("moved")))
-        moved = further.where("moved").limit(1).count()
-        pointers = further.select(table, "r", "c", "span", F.col("nr").alias("pr"), F.col("nc").alias("pc"))
-    folded = (F.col("r") != F.col("pr")) | (F.col("c") != F.col("pc"))
-    down = F.when(folded & (F.col("span") == "row"), F.col("r") - F.col("pr") + 1)
-    across = F.when(folded & (F.col("span") == "col") & (F.col("r") == F.col("pr")), F.col("c") - F.col("pc") + 1)
-    return pointers.groupBy(table, F.col("pr").alias("r"), F.col("pc").alias("c")).agg(
-        F.coalesce(F.max(down), F.lit(1)).alias("row_span"), F.coalesce(F.max(across), F.lit(1)).alias("col_span")
-    )
+    return by_table(cells.select(table, "r", "c", "row_span", "col_span", "width", "n_rows"), table, "r int, c int, of_r int, of_c int, span string", covered)
 
 
 def run_spans(rows: DataFrame, table: list[str], order: list[str], value: str) -> DataFrame:

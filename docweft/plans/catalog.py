@@ -5,30 +5,18 @@ The tables hold no document trees, so every binding is a choice made here; `ORAC
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweft.functions import attributes, text
 from docweft.operators import counters, diagnostics, quotes, resolve, runs, tables
+from docweft.plans import trees
+from docweft.plans.registry import ORACLES, QUERIES, query, read
+
+__all__ = ["ORACLES", "QUERIES", "trees"]
 
 #: The order of line items within a document; together these columns identify one.
 LI = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def count_of(tokens: Column, kind: str) -> Column:
@@ -41,10 +29,8 @@ SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '[^ ]+')))::BI
 FROM documents GROUP BY lang
 """)
 def tokens_by_lang(spark, d):
-    tokens = text.inline_tokens(F.col("text"))
-    counted = read(spark, d, "documents").select(
-        "lang", count_of(tokens, "Str").alias("s"), count_of(tokens, "Space").alias("p"), F.size(F.split("text", "\n")).alias("b")
-    )
+    runs_of = lambda p: F.regexp_count("text", F.lit(p))
+    counted = read(spark, d, "documents").select("lang", runs_of("[^ ]+").alias("s"), runs_of(" +").alias("p"), F.size(F.split("text", "\n")).alias("b"))
     return counted.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("s").alias("n_str"), F.sum("p").alias("n_space"), F.sum("b").alias("n_blocks"))
 
 
@@ -122,25 +108,42 @@ def heading_targets(spark, d):
     return resolve.heading_targets(read(spark, d, "part"), [], ["p_partkey"], "p_name")
 
 
-def crossref_sides(spark, d):
-    targets = read(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("id"), "n_nationkey")
-    refs = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("target"))
-    return refs, targets
+_CROSS_SQL = """
+WITH spelled AS (
+  SELECT upper(n_name) AS id, 10 * n_nationkey + 1 AS pos FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT lower(n_name), 10 * n_nationkey + 2 FROM nation WHERE n_nationkey % 3 = 0
+  UNION ALL SELECT upper(n_name[1:1]) || lower(n_name[2:]), 10 * n_nationkey FROM nation WHERE n_nationkey % 5 = 0),
+targets AS (SELECT id, min(pos) AS pos FROM spelled GROUP BY id),
+refs AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN upper(n_name) WHEN 1 THEN lower(n_name)
+  WHEN 2 THEN upper(n_name[1:1]) || lower(n_name[2:]) ELSE lower(n_name[1:1]) || upper(n_name[2:]) END AS target
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""
 
 
-@query("""
-SELECT c.c_custkey, n.n_nationkey, n.n_name AS id FROM customer c JOIN nation n
-ON n.n_nationkey % 2 = 0 AND lower(n.n_name) = lower('nation_' || c.c_nationkey)
+def crossref_sides(spark, d):
+    """Nations under up to three spellings that differ by case alone, and references to them in four."""
+    nations = read(spark, d, "nation")
+    name, k = F.col("n_name"), F.col("n_nationkey")
+    title = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1000)))
+    other = F.concat(F.lower(F.substring(name, 1, 1)), F.upper(F.substring(name, 2, 1000)))
+    spelled = F.array(F.when(k % 2 == 0, F.struct(F.upper(name).alias("id"), (10 * k + 1).alias("at"))), F.when(k % 3 == 0, F.struct(F.lower(name).alias("id"), (10 * k + 2).alias("at"))), F.when(k % 5 == 0, F.struct(title.alias("id"), (10 * k).alias("at"))))
+    targets = resolve.first_of_each(nations.select(F.explode(F.array_compact(spelled)).alias("x")).select("x.*"), ["id"], ["at"])
+    at = F.col("c_custkey") % 4
+    refs = read(spark, d, "customer").join(nations, F.col("c_nationkey") == k)
+    return refs.select("c_custkey", F.when(at == 0, F.upper(name)).when(at == 1, F.lower(name)).when(at == 2, title).otherwise(other).alias("target")), targets
+
+
+@query(_CROSS_SQL + """
+SELECT c_custkey, target, coalesce(e.id, l.id, (SELECT arg_min(t.id, t.pos) FROM targets t WHERE lower(t.id) = lower(target))) AS id
+FROM refs LEFT JOIN targets e ON e.id = target LEFT JOIN targets l ON l.id = lower(target)
+WHERE lower(target) IN (SELECT lower(id) FROM targets)
 """)
 def crossref_resolved(spark, d):
     refs, targets = crossref_sides(spark, d)
-    return resolve.resolve(refs, targets, "target", "id").where("id IS NOT NULL").select("c_custkey", "n_nationkey", "id")
+    return resolve.resolve(refs, targets, "target", "id", order=["at"]).where("id IS NOT NULL").select("c_custkey", "target", "id")
 
 
-@query("""
-SELECT c_custkey, 'nation_' || c_nationkey AS target FROM customer
-WHERE lower('nation_' || c_nationkey) NOT IN (SELECT lower(n_name) FROM nation WHERE n_nationkey % 2 = 0)
-""")
+@query(_CROSS_SQL + "SELECT c_custkey, target FROM refs WHERE lower(target) NOT IN (SELECT lower(id) FROM targets)")
 def crossref_unresolved(spark, d):
     return resolve.unresolved(*crossref_sides(spark, d), "target", "id")
 
@@ -380,12 +383,23 @@ def cited_keys(spark, d):
     return read(spark, d, "lineitem").select(*LI, F.array_join(text.cited_keys(raw), " ").alias("keys"))
 
 
-@query()
+@query("""
+WITH RECURSIVE marks AS (
+  SELECT user_id, event_id AS pos, CASE WHEN event_type IN ('view', 'click') THEN 'DoubleQuote' ELSE 'SingleQuote' END AS kind, event_type IN ('view', 'signup') AS opens,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i
+  FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase')),
+walk AS (
+  SELECT user_id, 0::BIGINT AS i, []::STRUCT(p BIGINT, kind VARCHAR)[] AS stack, NULL::BIGINT AS open_at, NULL::BIGINT AS close_at, NULL::VARCHAR AS kind FROM (SELECT DISTINCT user_id FROM marks)
+  UNION ALL
+  SELECT user_id, i, CASE WHEN opens THEN list_append(stack, struct_pack(p := pos, kind := kind)) WHEN hit IS NULL THEN stack ELSE stack[1:hit - 1] END, CASE WHEN NOT opens THEN stack[hit].p END, pos, kind
+  FROM (SELECT w.user_id, m.i, m.pos, m.kind, m.opens, w.stack, list_max([j FOR j IN range(1, len(w.stack) + 1) IF w.stack[j].kind = m.kind]) AS hit
+    FROM walk w JOIN marks m ON m.user_id = w.user_id AND m.i = w.i + 1))
+SELECT user_id, open_at, close_at, kind FROM walk WHERE open_at IS NOT NULL
+""")
 def quote_pairs(spark, d):
     marks = read(spark, d, "events").where("event_type IN ('view', 'click', 'signup', 'purchase')")
-    marks = marks.withColumn("hour", F.date_trunc("hour", "ts"))
     kind = F.when(F.col("event_type").isin("view", "click"), "DoubleQuote").otherwise("SingleQuote")
-    return quotes.quote_pairs(marks, ["user_id", "hour"], "event_id", kind, F.col("event_type").isin("view", "signup"))
+    return quotes.quote_pairs(marks, ["user_id"], "event_id", kind, F.col("event_type").isin("view", "signup"))
 
 
 SPELLINGS = ["yes", "No", "on", "OFF", "y", "null", "~", "{}", "{ }", "[a, b]", "[]", "12", "'yes'", "plain text", "True", "tRue", ""]
@@ -405,25 +419,35 @@ def yaml_scalars(spark, d):
     return raws.select("event_type", "raw", text.yaml_kind(F.col("raw")).alias("kind"), text.unquoted(F.col("raw")).alias("value"))
 
 
-#: Warnings that stand for the kinds of events.
-MESSAGES = {
-    "click": 'inline: unknown node type "click"',
-    "view": "comment: dropped",
-    "purchase": "citation: the typed locator is flattened",
-    "signup": "table: rowspan continuation at row 3, col 2 has no origin",
-}
-_MESSAGE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MESSAGES.items()) + " ELSE 'symbol: ' || event_type END"
+#: A warning for each rule, with the code it should get, and one that no rule knows.
+MESSAGES = [
+    ("comment: dropped", "comment-dropped"), ('inline: unknown node type "x"', "unknown-carve-inline"), ('block: unknown node type "y"', "unknown-carve-block"), ('inline: pandoc node "Z"', "unsupported-pandoc-inline"),
+    ('block: pandoc node "Null"', "unsupported-pandoc-block"), ("citation: the typed locator", "citation-locator-flattened"), ("citation: @k suppresses its author", "citation-mode-normalized"), ("Cite mixes modes", "citation-mode-normalized"),
+    ("Cite mapped to a group", "citation-bibliography-not-emitted"), ("SmallCaps becomes a span", "smallcaps-degraded"), ("short caption: lost", "short-caption-source-unavailable"), ("figure: unwrapped", "figure-unwrapped"),
+    ("figure group: short caption lost", "figure-group-short-caption-dropped"), ('frontmatter: format "toml"', "frontmatter-format-unsupported"), ("frontmatter: line 3", "frontmatter-line-skipped"), ("frontmatter: value of k", "frontmatter-value-skipped"),
+    ("meta: k is empty", "metadata-empty-blocks-skipped"), ("meta: k", "metadata-value-skipped"), ("definition list: an entry", "definition-entry-skipped"), ("ordered list: a marker", "ordered-list-marker-normalized"),
+    ("symbol: :x:", "symbol-unresolved"), ("extension: :k:", "inline-extension-degraded"), ("link: missing definition for [r]", "reference-unresolved"), ('crossref: "t"', "crossref-unresolved"),
+    ("list-table: structure", "list-table-structure-degraded"), ("list-table: the short caption", "list-table-short-caption-dropped"), ("list-table: a body group's attributes", "list-table-body-attributes-dropped"),
+    ("list-table: the table's 2 body groups", "list-table-body-groups-merged"), ("list-table: the body groups disagree", "list-table-row-heads-normalized"), ("list-table: rowspan", "list-table-rowspan-clipped"),
+    ('table: block-level cell content "Div"', "table-cell-blocks-flattened"), ("table: attributes on a cell at row 3, col 2", "table-continuation-attributes-dropped"), ("table: colspan continuation at row 1, col 4", "table-colspan-origin-missing"),
+    ("table: rowspan crossing at row 2, col 2", "table-rowspan-clipped"), ("table: rowspan continuation at row 3, col 2", "table-rowspan-origin-missing"), ("table: rows", "table-groups-normalized"), ("nothing like that", None),
+]
+_LOSSES = ("comment-dropped", "unsupported-pandoc-inline", "unsupported-pandoc-block", "short-caption-source-unavailable", "figure-group-short-caption-dropped", "frontmatter-format-unsupported",
+    "frontmatter-line-skipped", "frontmatter-value-skipped", "metadata-empty-blocks-skipped", "metadata-value-skipped", "definition-entry-skipped", "list-table-short-caption-dropped",
+    "list-table-body-attributes-dropped", "list-table-rowspan-clipped", "table-cell-blocks-flattened", "table-continuation-attributes-dropped", "table-rowspan-clipped")
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 _CLASS_SQL = f"""
-WITH m AS (SELECT event_id, user_id, {_MESSAGE_SQL} AS message FROM events),
-c AS (SELECT *, CASE WHEN message LIKE 'comment:%' THEN 'comment-dropped' WHEN message LIKE 'inline: unknown node type%' THEN 'unknown-carve-inline'
-  WHEN regexp_matches(message, '^citation: .*typed locator') THEN 'citation-locator-flattened' WHEN message LIKE 'symbol:%' THEN 'symbol-unresolved'
-  WHEN message LIKE 'table: rowspan continuation%' THEN 'table-rowspan-origin-missing' END AS code FROM m)
+WITH c AS (SELECT event_id, user_id, ({_listed(m for m, _ in MESSAGES)})[event_id % {len(MESSAGES)} + 1] AS message, ({_listed(c for _, c in MESSAGES)})[event_id % {len(MESSAGES)} + 1] AS code FROM events)
 """
 
 
 def event_warnings(spark, d):
-    table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    message = F.coalesce(F.try_element_at(table, F.col("event_type")), F.concat(F.lit("symbol: "), "event_type"))
+    message = F.get(F.array(*[F.lit(m) for m, _ in MESSAGES]), (F.col("event_id") % len(MESSAGES)).cast("int"))
     return diagnostics.classify(read(spark, d, "events").select("event_id", "user_id", message.alias("message")), "message", "forward")
 
 
@@ -436,7 +460,7 @@ def diagnostic_class(spark, d):
     return out.select("event_id", "code", "details.node_type", F.col("details.row").alias("row_"), F.col("details.column").alias("col_"))
 
 
-@query(_CLASS_SQL + "SELECT user_id, bool_or(code = 'comment-dropped') AS has_loss FROM c GROUP BY user_id")
+@query(_CLASS_SQL + f"SELECT user_id, coalesce(bool_or(code IN ({_listed(_LOSSES)[1:-1]})), false) AS has_loss FROM c GROUP BY user_id")
 def loss_gate(spark, d):
     return diagnostics.loss_gate(event_warnings(spark, d), ["user_id"])
 
@@ -473,9 +497,3 @@ SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::INTEGER AS h1, len(reg
 def html_outline(spark, d):
     count = lambda tag: F.regexp_count("html", F.lit(f"<{tag}[ >]")).alias(tag)
     return read(spark, d, "pages").select("page_id", *[count(t) for t in ("h1", "p", "li", "a")])
-
-
-@query("SELECT lang, count(*) AS n_docs, 0::BIGINT AS n_changed FROM documents GROUP BY lang")
-def roundtrip_documents(spark, d):
-    back = text.tokens_text(text.verbatim_tokens(F.col("text")))
-    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(back != F.col("text")).alias("n_changed"))

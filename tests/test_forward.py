@@ -120,8 +120,8 @@ def test_what_is_no_document_is_reported(converted):
 
 
 def test_warnings(converted):
-    got = {(r.doc, r.code) for r in forward.warnings(forward.resolved(converted[0], {"sun": "☼"})).collect()}
+    got = {(r.doc, r.code) for r in forward.warnings(forward.resolved(converted[0], {"sun": "☼"})[0]).collect()}
     assert got == {
         ("references", "crossref-unresolved"), ("notes", "reference-unresolved"), ("citation", "citation-locator-flattened"),
-        ("spans", "symbol-unresolved"), ("unknown", "unknown-carve-block"), ("unknown", "comment-dropped"),
+        ("spans", "symbol-unresolved"), ("unknown", "unknown-carve-block"), ("unknown", "comment-dropped"), ("table", "table-groups-normalized"),
     }

@@ -79,26 +79,27 @@ def covering_sets(shared: int, size: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def linked_within(fps: np.ndarray, bits: int, at_least: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the fingerprints of one posting: tally shared bytes, then verify bits."""
+def linked_within(fps: np.ndarray, bits: int, at_least: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the fingerprints of one posting: tally shared bytes, then verify bits.
+
+    Links go into the forest a few rows of pairs at a time, and links within a tree are forgotten at once: a crowd whose
+    members are all linked holds no more than those rows.
+    """
     values = fps.view(np.uint64)
-    left, right = [], []
-    for at in range(0, len(values), 256):
-        xor = values[at : at + 256, None] ^ values[None, :]
-        tally = (xor.view(np.uint8).reshape(*xor.shape, BYTES) == 0).sum(-1, dtype=np.int8)
-        i, j = np.nonzero(tally >= at_least)
-        close = np.bitwise_count(xor[i, j]) <= bits
-        left.append(i[close] + at)
-        right.append(j[close])
-    i, j = np.concatenate(left), np.concatenate(right)
     label = np.arange(len(values))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
+    for at in range(0, len(values), rows):
+        xor = values[at : at + rows, None] ^ values[None, at:]
+        tally = (xor.view(np.uint8).reshape(*xor.shape, BYTES) == 0).sum(-1, dtype=np.int8)
+        i, j = np.nonzero((tally >= at_least) & (np.bitwise_count(xor) <= bits))
+        a, b = label[i + at], label[j + at]
+        parent = np.arange(len(values))
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            a, b = parent[a], parent[b]
+        label = parent[label]
     member = np.flatnonzero(label != np.arange(len(values)))
     return fps[member], fps[label[member]]
 

@@ -77,7 +77,8 @@ def rules() -> dict[str, Column]:
         "loud": bad((10 * c("n_runs") > n) & (2 * c("n_upper") > n)),
         "repeats": bad(10 * c("n_repeat_words") > 3 * n),
         "stutters": bad(5 * c("n_stutters") > n),
-        "distinct": bad((n >= 20) & (n < 5000) & (4 * c("n_distinct") < n)),
+        # Vocabulary grows about as the root of the length, so the bound does at every length.
+        "distinct": bad((n >= 20) & (c("n_distinct") * c("n_distinct") < 5 * n)),
         "line_copies": bad((c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
         "sentence_ends": F.when((c("n_lines") >= 3) & (10 * c("n_stops") < 3 * c("n_lines")), -1).when(10 * c("n_stops") > 7 * c("n_lines"), 1),
         "word_length": F.when((10 * c("word_chars") < 25 * n) | (c("word_chars") > 12 * n), -1).when((c("word_chars") > 3 * n) & (c("word_chars") < 9 * n), 1),

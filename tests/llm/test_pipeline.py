@@ -1,24 +1,133 @@
-"""The pipeline's stages on the smallest tables."""
+"""The pipeline's stages against brute-force versions, on rows with nulls, long texts, ties, copies and clashing columns."""
 
+import base64
+import hashlib
+import math
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
+
+from docweft.llm import mixing, toxicity
+from tests.llm.test_operators import RNG, bag, brute_components, brute_lines, brute_print, text
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DIR = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def some_documents():
+    base = [text(RNG.randint(20, 60)) for _ in range(60)]
+    rows = [(i, t + (" vile scum idiot" * (i % 5 == 0)), "en", f"s{i % 3}") for i, t in enumerate(base)]
+    rows += [(100 + i, base[i + 1], None, "s0") for i in range(0, 10, 5)] + [(110, base[7] + " tail", "de", None)]
+    rows += [(200, None, "en", "s1"), (201, "", None, None), (202, " \n\t ", "en", "s2"), (None, "no key " + text(20), "en", "s0"), (None, "nor this one " + text(20), None, None)]
+    rows += [(203, text(5000), "fr", "s2"), (204, "shared line of words that many texts have\n" + text(9), "en", "s1"), (205, text(8) + "\nshared line of words that many texts have", "en", "s1")]
+    rows += [(206, "one line that is nearly the same as another\n" + text(7), "en", "s1"), (207, "one line that is nearly the same as anothex\n" + text(7), "en", "s1"), (1, rows[1][1], "en", "s1")]
+    return [(k, t, g, s, None if t is None else len(t)) for k, t, g, s in rows]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("sf"))
+    rows = some_documents()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    labels = [(k, int("vile" in (t or ""))) for k, t, *_ in rows if k is not None]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def library():
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def rows_of(frame):
+    return [tuple(r) for r in frame.select(*COLUMNS).collect()]
+
+
+def check_toxicity(spark, docs, out, folder):
+    scored = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")), into="p").where("p < 0.5")
+    assert bag(rows_of(out)) == bag(rows_of(scored))
+    left = [t or "" for _, t, *_ in rows_of(out)]
+    assert sum("vile" in t for t in left) <= 1 and sum("vile" not in (t or "") for _, t, *_ in rows_of(docs)) - len(left) <= 3
 
 
-def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, DIR)
-        assert out.columns == columns, name
+def check_lines(spark, docs, out, folder):
+    rows, last = rows_of(docs), (1 << 63) - 1
+    owner, near = brute_lines([r[:3] for r in rows], 1, 24)
+    want = Counter()
+    for key, t, *rest in rows:
+        lines, seen = [], set()
+        for line in (t or "").split("\n"):
+            if not line.strip(" \t\n\v\f\r") or owner[line] == (last if key is None else key) and line not in near and line not in seen:
+                lines.append(line)
+            seen.add(line) if line.strip(" \t\n\v\f\r") else None
+        want[key, None if t is None else "\n".join(lines), *rest] += 1
+    assert bag(rows_of(out)) == want and near
+
+
+def check_near(spark, docs, out, folder):
+    rows = rows_of(docs)
+    roots = brute_components([brute_print(r[1]) for r in rows], 3)
+    groups = {}
+    for r, root in zip(rows, roots, strict=True):
+        groups.setdefault(root, []).append(r)
+    kept = rows_of(out)
+    assert len(kept) == len(groups) and not bag(kept) - bag(rows)
+    first = lambda g: min((r[0] is None, r[0] or 0) for r in g)
+    assert Counter((r[0] is None, r[0] or 0) for r in kept) == Counter(first(g) for g in groups.values())
+
+
+def check_mix(spark, docs, out, folder):
+    plan = mixing.mix(docs).collect()
+    rows, got = rows_of(docs), rows_of(out)
+    size = {k: len((t or "").encode().split()) for k, t, *_ in rows if k is not None}
+    laps = Counter()
+    for r in plan:
+        for lap in range(2):
+            laps[r.doc_id, r.size] += r.size > 0 and lap * r.source_size + r.first_at < math.floor(r.target)
+    have = Counter((r[0], len((r[1] or "").encode().split())) for r in got)
+    assert have == +laps and not set(got) - set(rows) and all(k in size or k is None for k, *_ in got)
+    assert [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, folder).select(*COLUMNS).collect()] == got
+
+
+def check_bpe(spark, docs, out, folder):
+    encode = library().encode_ordinary
+    want = Counter()
+    for key, t, *_ in rows_of(docs):
+        ids = encode(t or "")
+        want[key, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert bag(out.collect()) == want
+
+
+CHECKS = dict(toxicity=check_toxicity, line_dedup=check_lines, simhash_near_dedup=check_near, mixing=check_mix, byte_bpe=check_bpe)
+
+
+def test_stages_and_run(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
         out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        after = docs.count()
-        assert after == before if name == "line_dedup" else 0 < after <= 2 * before
-        before = after
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
-    assert last.count() == before
+        again = spark.read.parquet(str(tmp_path / name))
+        assert name == "byte_bpe" or again.columns == COLUMNS
+        CHECKS[name](spark, docs, out, folder)
+        docs = again
+    got = corpus_pipeline.run(spark, folder)
+    assert bag(got.collect()) == bag(docs.collect()) and docs.count() > 60
+
+
+def test_stages_take_other_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 30")
+    more = docs.select("*", F.create_map(F.lit("k"), "doc_id").alias("score"), F.lit(1).alias("key"), F.lit("x").alias("owner"), F.lit(2).alias("fp"), F.lit(3).alias("lap"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, folder)
+        assert name == "byte_bpe" or out.columns == more.columns
+        assert out.count() > 0
 
 
 def test_empty_input(spark):

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from docweft.operators import forward
+from docweft.operators import diagnostics, forward
 from docweft.sources.nodes import flatten
 
 
@@ -98,6 +98,61 @@ CASES = {
     ),
     "unknown": ([{"type": "zzz", "value": "v w"}, para({"type": "comment", "content": "gone"}, t("x"))], [P(S("v"), SP, S("w")), P(S("x"))]),
     "empty": ([], []),
+    "nested notes": (
+        [para({"type": "footnote_ref", "id": "a"}), {"type": "footnote", "label": "a", "children": [para(t("x"), {"type": "footnote_ref", "id": "b"})]}, {"type": "footnote", "label": "b", "children": [para(t("y"), {"type": "heading_ref", "target": "H"})]}, {"type": "footnote", "label": "a", "children": []}, {"type": "heading", "children": [t("H")]}],
+        [P({"t": "Note", "c": [P(S("x"), {"t": "Note", "c": [P(S("y"), {"t": "Link", "c": [["", ["crossref"], []], [S("H")], ["#H", ""]]})]})]}), {"t": "Header", "c": [1, NO, [S("H")]]}],
+    ),
+    "circles": (
+        [para({"type": "footnote_ref", "id": "a"}), {"type": "footnote", "label": "a", "children": [para(t("x"), {"type": "footnote_ref", "id": "b"})]}, {"type": "footnote", "label": "b", "children": [para({"type": "footnote_ref", "id": "a"})]}],
+        [P({"t": "Note", "c": [P(S("x[^b]"))]})],
+    ),
+    "crossed headings": (
+        [{"type": "heading", "attrs": {"id": "Top"}, "children": [t("a "), {"type": "heading_ref", "target": "Top"}]}, {"type": "heading", "attrs": {"id": "top"}, "children": [t("b")]}, para({"type": "heading_ref", "target": "TOP"}), para({"type": "heading_ref", "target": "tOp"})],
+        [{"t": "Header", "c": [1, ["Top", [], []], [S("a"), SP, {"t": "Link", "c": [["", ["crossref"], []], [S("a"), SP], ["#Top", ""]]}]]}, {"t": "Header", "c": [1, ["top", [], []], [S("b")]]}]
+        + [P({"t": "Link", "c": [["", ["crossref"], []], [S("b")], [f"#{x}", ""]]}) for x in ("TOP", "tOp")],
+    ),
+    "broken links": (
+        [para({"type": "link", "ref": "r", "rawRef": "[te\nxt][r]", "children": [t("text")]}, {"type": "image", "ref": "s", "src": "", "alt": "al t"}, {"type": "link", "ref": "q", "href": "", "children": [t("kept")]})],
+        [P(S("[te"), {"t": "SoftBreak"}, S("xt][r]al"), SP, S("tkept"))],
+    ),
+    "panels": (
+        [{"type": "figure_group", "attrs": {"id": "g"}, "caption": [t("Plate "), {"type": "caption_number"}], "children": [
+            {"type": "figure", "attrs": {"id": "p"}, "target": {"type": "image", "src": "a", "alt": ""}, "caption": [t("n "), {"type": "caption_number"}]}, {"type": "figure", "attrs": {"id": "q"}, "target": {"type": "block_quote", "children": [para(t("z"))]}}, para(t("stray"))]},
+         para({"type": "heading_ref", "target": "g"}, {"type": "heading_ref", "target": "q"})],
+        [{"t": "Figure", "c": [["g", [], []], [None, [{"t": "Plain", "c": [S("Plate"), SP, S("1")]}]], [
+            {"t": "Figure", "c": [["p", [], []], [None, [{"t": "Plain", "c": [S("n"), SP, S("#")]}]], [{"t": "Plain", "c": [{"t": "Image", "c": [NO, [], ["a", ""]]}]}]]}, {"t": "Figure", "c": [["q", [], []], [None, []], [{"t": "BlockQuote", "c": [P(S("z"))]}]]}, P(S("stray"))]]},
+         P({"t": "Link", "c": [NO, [S("Plate"), SP, S("1")], ["#g", ""]]}, {"t": "Link", "c": [["", ["crossref"], []], [S("Plate"), SP, S("1b")], ["#q", ""]]})],
+    ),
+    "figured table": (
+        [{"type": "figure", "attrs": {"id": "f"}, "shortCaption": [t("s")], "caption": [t("c")], "target": {"type": "table", "attrs": {"id": "t", "keyValues": {"widths": "1", "k": "v"}}, "caption": [t("own")], "rows": [{"type": "table_row", "cells": [cell("a")]}]}}, {"type": "figure", "caption": [t("none")]}],
+        [{"t": "Table", "c": [["t", [], [["k", "v"]]], [[S("s")], [{"t": "Plain", "c": [S("c")]}]], [[{"t": "AlignDefault"}, {"t": "ColWidthDefault"}]], [NO, []], [[NO, 0, [], [[NO, [out_cell("a")]]]]], [NO, []]]}],
+    ),
+    "row groups": (
+        [{"type": "table", "rowGroups": {"headRows": 1, "bodies": [{"headRows": 1, "bodyRows": 1, "rowHeadColumns": 1, "attrs": {"id": "b"}}, {"headRows": 0, "bodyRows": 0}], "footRows": 1}, "caption": [], "rows": [{"type": "table_row", "cells": [cell(x, align="left")]} for x in "hijk"]}],
+        [{"t": "Table", "c": [NO, [None, []], [[{"t": "AlignLeft"}, {"t": "ColWidthDefault"}]], [NO, [[NO, [out_cell("h")]]]], [[["b", [], []], 1, [[NO, [out_cell("i", "AlignLeft")]]], [[NO, [out_cell("j", "AlignLeft")]]]], [NO, 0, [], []]], [NO, [[NO, [out_cell("k", "AlignLeft")]]]]]}],
+    ),
+    "misfit groups": ([{"type": "table", "rowGroups": {"headRows": 2, "bodies": [], "footRows": 0}, "rows": [{"type": "table_row", "cells": [cell("a", header=True)]}]}], [{"t": "Table", "c": [NO, [None, []], [[{"t": "AlignDefault"}, {"t": "ColWidthDefault"}]], [NO, [[NO, [out_cell("a")]]]], [[NO, 0, [], []]], [NO, []]]}]),
+    "admonition": (
+        [{"type": "admonition", "kind": "tip", "title": [t("T")], "label": "L", "attrs": {"classes": ["x"]}, "children": [para(t("b"))]}, {"type": "div", "label": "M", "children": []}, {"type": "div", "attrs": {"classes": ["line-block"]}, "children": [para(t("v"), {"type": "soft_break"}, t("w"))]}],
+        [{"t": "Div", "c": [["", ["admonition", "tip", "x"], []], [P({"t": "Strong", "c": [S("T")]}), P({"t": "Strong", "c": [S("L")]}), P(S("b"))]]}, {"t": "Div", "c": [NO, [P({"t": "Strong", "c": [S("M")]})]]}, {"t": "LineBlock", "c": [[S("v")], [S("w")]]}],
+    ),
+    "old forms": (
+        [{"type": "definition_list", "items": [{"terms": [[t("a")]], "definitions": [[para(t("x"))]]}, {"terms": [[t("b")]], "definitions": []}]}, para({"type": "footnote", "inline": [t("i")]}, {"type": "critic-comment", "text": "c"}, {"type": "heading_ref", "target": "z", "resolvedText": "old"})],
+        [{"t": "DefinitionList", "c": [[[S("a")], [[P(S("x"))]]], [[S("b")], []]]}, P({"t": "Note", "c": [P(S("i"))]}, {"t": "Span", "c": [["", ["comment-annotation"], []], [S("c")]]}, {"t": "Link", "c": [["", ["crossref", "unresolved"], []], [S("z")], ["#z", ""]]})],
+    ),
+    "integral": (
+        [para({"type": "citation_group", "mode": "integral", "raw": "[+@k]", "items": [{"key": "k", "suffix": [t("x")]}, {"key": "l", "suppressAuthor": True}]})],
+        [P({"t": "Cite", "c": [[{"citationId": "k", "citationPrefix": [], "citationSuffix": [SP, S("x")], "citationMode": {"t": "AuthorInText"}, "citationNoteNum": 1, "citationHash": 0}, {"citationId": "l", "citationPrefix": [], "citationSuffix": [], "citationMode": {"t": "SuppressAuthor"}, "citationNoteNum": 1, "citationHash": 0}], [S("[+@k]")]]})],
+    ),
+    "links": (
+        [para({"type": "autolink", "href": "mailto:a@b", "attrs": {"classes": ["x"]}}, {"type": "image", "src": "s", "title": "T", "alt": "a b", "attrs": {"id": "i"}}, {"type": "link", "href": "u", "title": "t", "children": [{"type": "code", "value": "c"}]}), {"type": "image", "src": "s", "alt": ""}],
+        [P({"t": "Link", "c": [["", ["email", "x"], []], [S("mailto:a@b")], ["mailto:a@b", ""]]}, {"t": "Image", "c": [["i", [], []], [S("a"), SP, S("b")], ["s", "T"]]}, {"t": "Link", "c": [NO, [{"t": "Code", "c": [NO, "c"]}], ["u", "t"]]}), P({"t": "Image", "c": [NO, [], ["s", ""]]})],
+    ),
+    "extensions": (
+        [para({"type": "inline_extension", "name": "k", "content": [t("e")]}, {"type": "inline_extension", "name": "l", "content": "f g"}, {"type": "substitution", "oldText": "o", "newText": "n"}, {"type": "abbreviation", "abbr": "ab", "expansion": "long"}, {"type": "literal_inline", "content": "a  b"}, {"type": "raw_inline", "format": "html", "content": "<i>"}, {"type": "escaped_text", "value": "*"})],
+        [P({"t": "Span", "c": [["", ["ext-k"], []], [S("e")]]}, {"t": "Span", "c": [["", ["ext-l"], []], [S("f"), SP, S("g")]]}, {"t": "Span", "c": [["", ["substitution"], []], [{"t": "Span", "c": [["", ["deletion"], []], [S("o")]]}, S("→"), {"t": "Span", "c": [["", ["insertion"], []], [S("n")]]}]]},
+           {"t": "Span", "c": [["", ["abbr"], [["title", "long"]]], [S("ab")]]}, S("a"), SP, SP, S("b"), {"t": "RawInline", "c": ["html", "<i>"]}, S("*"))],
+    ),
 }
 
 
@@ -120,8 +175,21 @@ def test_what_is_no_document_is_reported(converted):
 
 
 def test_warnings(converted):
-    got = {(r.doc, r.code) for r in forward.warnings(forward.resolved(converted[0], {"sun": "☼"})[0]).collect()}
+    ready = forward.resolved(converted[0], {"sun": "☼"})[0]
+    got = {(r.doc, r.code) for r in forward.warnings(ready).collect()}
+    assert got == {
+        ("references", "crossref-unresolved"), ("notes", "reference-unresolved"), ("citation", "citation-locator-flattened"), ("table", "table-groups-normalized"),
+        ("spans", "symbol-unresolved"), ("unknown", "unknown-carve-block"), ("unknown", "comment-dropped"), ("broken links", "reference-unresolved"), ("misfit groups", "table-groups-normalized"),
+        ("old forms", "crossref-unresolved"), ("integral", "citation-mode-normalized"), ("extensions", "inline-extension-degraded"),
+    }
+    assert diagnostics.classify(ready.limit(0).selectExpr("'comment: x' AS m"), "m", "d", strict=True).count() == 0
+
+
+def test_span_warnings(spark):
+    rows = [{"type": "table_row", "cells": [cell("a", header=True), cell("", span="colspan", header=True, attrs={"id": "x"})]}, {"type": "table_row", "cells": [cell("", span="colspan"), cell("", span="rowspan")]}]
+    docs = [("t", json.dumps({"type": "document", "children": [{"type": "table", "rows": rows}]})), ("u", json.dumps({"type": "document", "children": [{"type": "table", "rows": [{"type": "table_row", "cells": [cell("", span="rowspan")]}]}]}))]
+    nodes, _ = flatten(spark.createDataFrame(docs, "doc string, ast string"))
+    got = {(r.doc, r.code, r.details.row, r.details.column) for r in forward.warnings(forward.resolved(nodes)[0]).collect()}
     assert got == {
-        ("references", "crossref-unresolved"), ("notes", "reference-unresolved"), ("citation", "citation-locator-flattened"),
-        ("spans", "symbol-unresolved"), ("unknown", "unknown-carve-block"), ("unknown", "comment-dropped"), ("table", "table-groups-normalized"),
+        ("t", "table-continuation-attributes-dropped", 1, 2), ("t", "table-colspan-origin-missing", 2, 1), ("t", "table-rowspan-clipped", 2, 2), ("u", "table-rowspan-origin-missing", 1, 1),
     }

@@ -126,11 +126,11 @@ def test_spans_against_simulation(spark):
     assert {tuple(r) for r in tables.invert_spans(frame, "t", F.col("span"), "section").collect()} == want
 
 
-def test_resolve_prefers_the_exact_target(spark):
-    targets = spark.createDataFrame([("Intro", 1), ("intro", 2), ("End", 3)], "id string, n int")
-    refs = spark.createDataFrame([("intro",), ("INTRO",), ("end",), ("none",)], "target string")
-    got = {r.target: r.n for r in resolve.resolve(refs, targets, "target", "id").collect()}
-    assert got == {"intro": 2, "INTRO": 1, "end": 3, "none": None}
+def test_resolve_prefers_the_exact_target_then_lower_case_then_the_first(spark):
+    targets = spark.createDataFrame([("Intro", 1), ("intro", 2), ("End", 4), ("eND", 3)], "id string, n int")
+    refs = spark.createDataFrame([("intro",), ("Intro",), ("INTRO",), ("end",), ("END",), ("none",)], "target string")
+    got = {r.target: r.n for r in resolve.resolve(refs, targets, "target", "id", order=["n"]).collect()}
+    assert got == {"intro": 2, "Intro": 1, "INTRO": 2, "end": 3, "END": 3, "none": None}
     assert [r.target for r in resolve.unresolved(refs, targets, "target", "id").collect()] == ["none"]
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-ROWS = 1 << 16
+ROWS = 1 << 14
 
 
 class Block:

@@ -254,15 +254,15 @@ class DistinctPreTokens:
 
     def distinct(self) -> list[str]:
         found, cut_piece = set(), self.cut_piece
-        for piece in self.first:
-            found.update(cut_piece(piece))
-        for piece in self.rest:
-            found.update(cut_piece(" " + piece))
+        while self.first:
+            found.update(cut_piece(self.first.pop()))
+        while self.rest:
+            found.update(cut_piece(" " + self.rest.pop()))
         return list(found)
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 12 << 20
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 9 << 20
 ) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids by the ranks at path (.tiktoken), as little-endian unsigned 32-bit integers.
 

@@ -28,7 +28,7 @@ def some_rows():
     rows = [(i, t, f"s{i % 3}") for i, t in enumerate(base)]
     rows += [(100 + i, base[i], "s0") for i in range(10)]  # exact copies
     rows += [(200 + i, base[i] + " tail", None) for i in range(5)]
-    rows += [(300, None, "s1"), (301, "", None), (302, "  \n\t ", "s2"), (None, "no key here", "s0"), (303, "a  b   c \n\n d e ", "s1")]
+    rows += [(300, None, "s1"), (301, "", None), (302, "  \n\t ", "s2"), (None, "no key here", "s0"), (None, "nor here\nno key here\nthe line of a row without key", "s0"), (303, "a  b   c \n\n d e ", "s1")]
     rows += [(0, base[0], "s0"), (0, base[0], "s0"), (304, text(20_000), "s2"), (305, "<|endoftext|> x<|endoftext|>", "s1"), (306, "a" * 5000, "s1")]
     rows += [(307, "one\ntwo\none\n\n" + "long enough line of words to be near another\n", "s1"), (308, "long enough line of words to be near anothex\nthree", "s1")]
     return rows

@@ -51,8 +51,14 @@ def unresolved(refs: DataFrame, targets: DataFrame, target: str, id: str) -> Dat
     return refs.join(folded, F.lower(target) == F.col("_fold"), "left_anti")
 
 
-def look_up(rows: DataFrame, name: str, table: dict[str, str], into: str = "value") -> DataFrame:
-    """rows with the table's value for a name, null for others. The table is a parameter, held in the plan as a literal."""
+def look_up(rows: DataFrame, name: str, table: dict[str, str] | DataFrame, into: str = "value") -> DataFrame:
+    """rows with the table's value for a name, null for others.
+
+    A dict is a parameter, held in the plan as a literal; a table of any size is a DataFrame (name, value) of distinct names,
+    which is joined.
+    """
+    if isinstance(table, DataFrame):
+        return rows.join(table.select(F.col("name").alias("_key"), F.col("value").alias(into)), F.col(name) == F.col("_key"), "left").drop("_key")
     if not table:
         return rows.withColumn(into, F.lit(None).cast("string"))
     return rows.withColumn(into, F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]), F.col(name)))

@@ -56,11 +56,6 @@ def verbatim_tokens(text: Column) -> Column:
     )
 
 
-def tokens_text(tokens: Column) -> Column:
-    """The text of tokens, a space for each Space."""
-    return F.array_join(F.transform(tokens, lambda x: F.coalesce(x["c"], F.lit(" "))), "")
-
-
 def slugify(text: Column) -> Column:
     """A heading's identifier: letters, numbers, underscores and hyphens, case kept, white space as hyphens."""
     kept = F.regexp_replace(strip(text), rf"[^\p{{L}}\p{{N}}{SPACE}_-]", "")

@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 
 ROWS = 1 << 14
+REPLY = pa.schema([("block", pa.int64()), ("reply", pa.binary()), ("body", pa.binary())])
 
 
 class Block:
@@ -37,6 +38,17 @@ class Block:
                 arrays + [pa.array(c[at:stop]) for c in columns.values()], ["block", "number", "word", *columns]
             )
 
+    def word_packs(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """(block, shard, pack): the distinct words in packs, one for each shard that has some of them."""
+        raw = [w.encode() if isinstance(w, str) else w for w in self.words]
+        shard = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.uint32, len(raw)) % np.uint32(shards)
+        order = np.argsort(shard, kind="stable")
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)), len(order)) if len(order) else np.zeros(1, int)
+        for at in range(0, len(edges) - 1, 64):
+            parts = [order[i:j] for i, j in zip(edges[at : at + 64], edges[at + 1 : at + 65])]
+            packs = [shut_pack(p, [raw[i] for i in p]) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), self.name)), pa.array(shard[[p[0] for p in parts]].astype(np.int64)), pa.array(packs, pa.binary())], ["block", "shard", "pack"])
+
     def ragged(self, table: pa.Table, unit: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What came back for the words: all values in one array, and by number their starts and sizes in it.
 
@@ -53,6 +65,23 @@ class Block:
         return flat, (np.cumsum(sizes) - sizes)[order], sizes[order]
 
 
+def shut_pack(numbers: np.ndarray, words: list[bytes]) -> bytes:
+    """Words and their rising numbers, compressed."""
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
+    raw = np.array([len(words)], "<i8").tobytes() + np.diff(numbers, prepend=0).astype("<i4").tobytes() + sizes.tobytes() + b"".join(words)
+    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def open_packs(packs: list[pa.Buffer]) -> tuple[list[np.ndarray], pa.Array]:
+    """The numbers in each pack, and the words of all packs one after the other."""
+    opened = [open_reply(p) for p in packs]
+    sizes = np.concatenate([o[1] for o in opened])
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(o[2] for o in opened))])
+    return [o[0] for o in opened], words
+
+
 class Replies:
     """What a task has for the words of each block, sent as one compressed row a block: (block, reply, null)."""
 

@@ -1,7 +1,7 @@
 """Byte-level byte-pair encoding: ranks, the two merge loops, and the cuts that come before the merges.
 
 Encoding shuffles distinct pre-tokens of the whole corpus: documents are gathered into blocks, each block sends every
-distinct pre-token it holds once, a pre-token is encoded once where all blocks' rows of it meet, and the ids go back to
+distinct pre-token it holds once, a pre-token is encoded once where all blocks' packs with it meet, and the ids go back to
 their block, where the stored positions put them in order. Decoding joins ids with the table of token bytes.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.blocks import Numbers, Replies, copies, cut, open_block, ragged_places, shut_block
+from docweft.llm.blocks import REPLY, Numbers, Replies, copies, cut, open_block, open_packs, ragged_places, shut_block
 from docweft.llm.common import keyed, text_pass
 
 #: Where a text may be cut so that its pieces' pre-tokens are those of the whole: before a space that a non-space follows.
@@ -262,40 +262,39 @@ class DistinctPreTokens:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 9 << 20
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 23, shard_bytes: int = 1 << 23
 ) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids by the ranks at path (.tiktoken), as little-endian unsigned 32-bit integers.
 
     docs must be a stored table or another input whose rows don't change between two reads: its pre-tokens and their
     positions are two passes over it. (Blocks are named by their content; should a read differ, the job fails and does
-    not mix them up.) Null and empty texts have no ids; repeated rows and null keys come out as they came in; an empty
-    table gives no rows; a very long text is a block of its own.
+    not mix them up.) Distinct pre-tokens are dealt by their hash to shards, one for each shard_bytes of text, in packs of
+    one block and one shard: a task that encodes holds one shard. Null and empty texts have no ids; repeated rows and null
+    keys come out as they came in; an empty table gives no rows; a very long text is a block of its own.
     """
     rows = keyed(docs, key, text)
     key_type = rows.schema["key"].dataType
     unit = np.dtype("<u2" if len(load_ranks(path)) <= 1 << 16 else "<u4")
+    shards = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in cut(batches, lambda: DistinctPreTokens(pattern), block_bytes):
-            yield from block.word_rows()
+            yield from block.word_packs(shards)
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in cut(batches, lambda: PreTokens(pattern), block_bytes):
             yield shut_block(block)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, last, replies = load_ranks(path), (None, b""), Replies()
-        for batch in batches:
-            distinct = batch.column("word").dictionary_encode()
-            names = distinct.dictionary.to_pylist()
-            made = [last[1] if w == last[0] else np.array(encode_word(w.encode(), ranks), unit).tobytes() for w in names]
-            if made:
-                last = (names[-1], made[-1])
-            yield from replies.add(batch.column("block"), batch.column("number"), pa.array(made, pa.binary()).take(distinct.indices))
-        yield from replies.rest()
-
-    met = rows.mapInArrow(words, "block long, number int, word string").repartition("word").sortWithinPartitions("word")
-    encoded = met.mapInArrow(encode, "block long, reply binary, body binary")
+    def encode(key: tuple, table: pa.Table) -> pa.Table:
+        numbers, met = open_packs([p.as_buffer() for p in table.column("pack")])
+        distinct, ranks = met.dictionary_encode(), load_ranks(path)
+        made = pa.array([np.array(encode_word(w, ranks), unit).tobytes() for w in distinct.dictionary.to_pylist()], pa.binary()).take(distinct.indices)
+        blocks = pa.array(np.repeat(table.column("block").to_numpy(), [len(n) for n in numbers]))
+        replies = Replies(len(made) + 1)
+        return pa.Table.from_batches([*replies.add(blocks, pa.array(np.concatenate(numbers)), made), *replies.rest()], REPLY)
+
+    met = rows.mapInArrow(words, "block long, shard long, pack binary")
+    encoded = met.groupBy("shard").applyInArrow(encode, "block long, reply binary, body binary")
     order = rows.mapInArrow(orders, "block long, reply binary, body binary")
 
     def assemble(table: pa.Table) -> pa.Table:

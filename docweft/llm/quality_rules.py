@@ -91,8 +91,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", at: float =
 
     base_failed: under 50 words, or over half of them in repeated windows. posterior: probability of good quality from
     the rules' votes, whose reliabilities expectation-maximisation finds from the counts of all vote patterns (at most
-    3 to the number of rules, whatever the input). kept: not base_failed and posterior >= at. A text without words has
-    base_failed. An empty table gives no rows.
+    3 to the number of rules, whatever the input). kept: not base_failed and posterior >= at. A text without words,
+    a null one too, has base_failed and no vote. Repeated rows and null keys come out as they came in, each with votes of
+    its own. An empty table gives no rows.
     """
     rows = saved(measured(docs, key, text))
     votes = {f"vote_{k}": v for k, v in rules().items()}

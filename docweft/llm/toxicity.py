@@ -44,10 +44,11 @@ class Grams:
 
 @dataclass
 class ToxicityModel:
-    """A weight for each bucket, and a bias."""
+    """A weight for each bucket, and a bias; tells is false for a model that had no rows of a class to learn from."""
 
     weights: np.ndarray
     bias: float
+    tells: bool = True
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         grams = Grams(len(self.weights))
@@ -71,7 +72,7 @@ def fit(
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(shares) < 2:
         p = next(iter(shares), 0.5)
-        return ToxicityModel(np.zeros(DIMS, np.float32), float(np.log(max(p, 1e-3) / max(1 - p, 1e-3))))
+        return ToxicityModel(np.zeros(DIMS, np.float32), float(np.log(max(p, 1e-3) / max(1 - p, 1e-3))), tells=False)
     chosen = linear.sample_of_each_class(known, most)
     texts = keyed(learnable, key, text).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
     grams = lambda batch: [pa.array([g.astype("<u4").tobytes() for g in map(Grams(), batch)], pa.binary())]
@@ -95,8 +96,10 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str =
 def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", at: float = 0.5) -> DataFrame:
     """The rows of docs that score below `at`, with the columns of docs, whatever their names.
 
-    Null and empty texts score alike; repeated rows stay or go together; null keys play no part; an empty table gives no rows.
+    A model that had no rows of a class to learn from can't tell them apart, and rejects nothing. Null and empty texts score alike; repeated rows stay or go together; null keys play no part; an empty table gives no rows.
     """
+    if not model.tells:
+        return docs
     rows, names = numbered_columns(docs)
     scored = text_pass(rows, [T.StructField("score", T.DoubleType())], lambda texts: [pa.array(model.scores(texts))], names[text], keep=True)
     return scored.where(F.col("score") < at).select(*[F.col(new).alias(old) for old, new in names])

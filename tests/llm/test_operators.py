@@ -446,6 +446,8 @@ def test_toxicity_learns(spark, docs, empty):
     same = toxicity.score(docs, model, into="more").collect()
     assert len(same) == len(ROWS) and all(0 <= r.more <= 1 for r in same)
     nothing = toxicity.fit(docs, labels.where("false"))
+    assert toxicity.without_toxic(docs, nothing).count() == len(ROWS)
+    assert toxicity.without_toxic(docs, toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")))).count() == len(ROWS)
     assert all(r.more == 0.5 for r in toxicity.score(docs, nothing, into="more").collect())
     assert toxicity.score(empty, model).count() == 0
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: What goes between the executor and its Python workers at a time: Spark's default, and what serves rows that hold whole texts.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (f"{64 << 20}b", f"{4 << 20}b")}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (f"{64 << 20}b", f"{1 << 20}b")}
 
 
 def ship_package(spark: SparkSession) -> SparkSession:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import bpe, line_dedup, lm, mixing, quality_classifier, quality_rules, simhash, topk, toxicity
+from docweft.llm import bpe, line_dedup, lm, mixing, quality_classifier, quality_rules, simhash, topk, toxicity, whitening
 from docweft.llm.common import in_training, is_held_out
 
 
@@ -72,9 +72,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight components of every usable vector of embeddings; no rows where the vectors don't differ."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
     found = (
         op1_toxicity, op2_byte_bpe, op3_mixing, op4_line_dedup, op5_lm_scoring, op6_quality_classifier, op7_token_counts, op8_quality_rules, op9_exact_top_k, op10_simhash,
+        op12_embedding_whitening,
     )
     return {f.__name__: f for f in found}
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm import bpe, line_dedup, lm, mixing, quality_classifier, quality_rules, simhash, topk, toxicity, whitening
+from docweft.llm import bpe, lexical, line_dedup, lm, mixing, quality_classifier, quality_rules, simhash, topk, toxicity, transducer, whitening
 from docweft.llm.common import in_training, is_held_out
 
 
@@ -72,18 +72,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each row of benchmark; texts without terms take no part."""
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight components of every usable vector of embeddings; no rows where the vectors don't differ."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to; null texts count as empty."""
+    vocabulary = transducer.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    encoded = transducer.encode_documents(table(spark, sf_dir, "documents"), vocabulary)
+    return transducer.decode_documents(encoded, vocabulary).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict:
     found = (
         op1_toxicity, op2_byte_bpe, op3_mixing, op4_line_dedup, op5_lm_scoring, op6_quality_classifier, op7_token_counts, op8_quality_rules, op9_exact_top_k, op10_simhash,
-        op12_embedding_whitening,
+        op11_ranked_search, op12_embedding_whitening, op13_transducer_bpe,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL, "op11_ranked_search": lexical.ORACLE_SQL}

@@ -53,3 +53,39 @@ def saved(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut by a reliable checkpoint."""
     with_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def once(make):
+    """make(*args), which builds columns, built once a Spark application: a large expression takes thousands of calls to the JVM."""
+    found: dict = {}
+
+    def get(*args):
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in found:
+            found[key] = make(*args)
+        return found[key]
+
+    return get
+
+
+def kept_in_place(df: DataFrame) -> DataFrame:
+    """saved(), with rows staying where they are: what Spark knows of their partitioning holds for later joins and windows too.
+
+    Spark forgets it where a plan may still change while it runs, so this one doesn't.
+    """
+    spark, name = with_checkpoints(df.sparkSession), "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, before)
+
+
+def by_document(df: DataFrame, key: str = "doc") -> DataFrame:
+    """df saved with all rows of a document in one partition, so that joins and windows on its key and anything else move nothing.
+
+    A document's rows have to fit a task. There are as many partitions as spark.sql.shuffle.partitions says.
+    """
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return kept_in_place(df.repartition(key))

@@ -35,6 +35,48 @@ def out_cell(value, align="AlignDefault", rows=1, cols=1):
     return [NO, {"t": align}, rows, cols, [{"t": "Plain", "c": [S(value)]}] if value else []]
 
 
+def block_cell(blocks, rows=1, cols=1, attr=NO):
+    return [attr, {"t": "AlignDefault"}, rows, cols, blocks]
+
+
+def item(blocks, **more):
+    return {"type": "list_item", "children": blocks, **more}
+
+
+def lst(*items, tight=True):
+    return {"type": "list", "ordered": False, "tight": tight, "items": [item(x) for x in items]}
+
+
+def row(*cells, marked=False):
+    cells = [item(x, **({"attrs": {"keyValues": {"header-row": ""}}} if marked and not i else {})) for i, x in enumerate(cells)]
+    return item([{"type": "list", "ordered": False, "tight": True, "items": cells}])
+
+
+def box(*rows, **more):
+    return {"type": "admonition", "kind": "list-table", "children": [{"type": "list", "ordered": False, "tight": True, "items": list(rows)}], **more}
+
+
+def note(label, *blocks):
+    return {"type": "footnote", "label": label, "children": list(blocks)}
+
+
+def ref(label):
+    return {"type": "footnote_ref", "id": label}
+
+
+def cite():
+    return {"type": "citation_group", "raw": "@k", "items": [{"key": "k"}]}
+
+
+def cited(n):
+    return {"t": "Cite", "c": [[{"citationId": "k", "citationPrefix": [], "citationSuffix": [], "citationMode": {"t": "NormalCitation"}, "citationNoteNum": n, "citationHash": 0}], [S("@k")]]}
+
+
+def N_(*blocks):
+    return {"t": "Note", "c": list(blocks)}
+
+
+DEEP = 2500
 CASES = {
     "text": ([para(t("a  b c"), t("d"))], [P(S("a"), SP, S("b"), SP, S("cd"))]),
     "emphasis": ([para({"type": "emphasis", "children": [{"type": "strong", "children": [t("x")]}]}, {"type": "soft_break"})], [P({"t": "Emph", "c": [{"t": "Strong", "c": [S("x")]}]}, {"t": "SoftBreak"})]),
@@ -148,6 +190,33 @@ CASES = {
         [para({"type": "autolink", "href": "mailto:a@b", "attrs": {"classes": ["x"]}}, {"type": "image", "src": "s", "title": "T", "alt": "a b", "attrs": {"id": "i"}}, {"type": "link", "href": "u", "title": "t", "children": [{"type": "code", "value": "c"}]}), {"type": "image", "src": "s", "alt": ""}],
         [P({"t": "Link", "c": [["", ["email", "x"], []], [S("mailto:a@b")], ["mailto:a@b", ""]]}, {"t": "Image", "c": [["i", [], []], [S("a"), SP, S("b")], ["s", "T"]]}, {"t": "Link", "c": [NO, [{"t": "Code", "c": [NO, "c"]}], ["u", "t"]]}), P({"t": "Image", "c": [NO, [], ["s", ""]]})],
     ),
+    "list table": (
+        [box(row([para(t("H1"))], [para(t("<"))]), row([para(t("a"))], [lst([para(t("x"))], [para(t("y"))])]), row([para(t("^"))], [para(t("p")), para(t("q"))]), row([para(t("m"))], [para(t("n"))], marked=True), row([para(t("s"))], []),
+             title=[t("My cap")], attrs={"id": "T", "classes": ["k"], "keyValues": {"header-rows": "1", "footer-rows": "", "header-cols": "3", "aligns": "left, right", "widths": "25,x", "own": "v"}})],
+        [{"t": "Table", "c": [["T", ["k"], [["own", "v"]]], [None, [{"t": "Plain", "c": [S("My"), SP, S("cap")]}]], [[{"t": "AlignLeft"}, {"t": "ColWidth", "c": 0.25}], [{"t": "AlignRight"}, {"t": "ColWidthDefault"}]],
+            [NO, [[NO, [block_cell([P(S("H1"))], cols=2)]]]],
+            [[NO, 2, [], [[NO, [block_cell([P(S("a"))], rows=2), block_cell([{"t": "BulletList", "c": [[{"t": "Plain", "c": [S("x")]}], [{"t": "Plain", "c": [S("y")]}]]}])]], [NO, [block_cell([P(S("p")), P(S("q"))])]]]],
+             [NO, 2, [[NO, [block_cell([P(S("m"))], attr=["", [], [["header-row", ""]]]), block_cell([P(S("n"))])]]], []]],
+            [NO, [[NO, [block_cell([P(S("s"))]), block_cell([])]]]]]}],
+    ),
+    "list table without rows": ([box()], [{"t": "Table", "c": [NO, [None, []], [], [NO, []], [[NO, 0, [], []]], [NO, []]]}]),
+    "list table, clipped": (
+        [box(row([para(t("h"))], [para(t("<")), para(t("x"))]), row([para(t("^"))]), attrs={"keyValues": {"header-rows": "1 of two"}})],
+        [{"t": "Table", "c": [NO, [None, []], [[{"t": "AlignDefault"}, {"t": "ColWidthDefault"}]] * 2, [NO, [[NO, [block_cell([P(S("h"))]), block_cell([P(S("<")), P(S("x"))])]]]], [[NO, 0, [], [[NO, [block_cell([P(S("^"))])]]]]], [NO, []]]}],
+    ),
+    "no list table": ([box(row([para(t("a"))]), item([para(t("b"))]))], [{"t": "Div", "c": [["", ["admonition", "list-table"], []], [{"t": "BulletList", "c": [[{"t": "BulletList", "c": [[{"t": "Plain", "c": [S("a")]}]]}], [{"t": "Plain", "c": [S("b")]}]]}]]}]),
+    "boxes": (
+        [{"type": "list", "tight": True, "items": [
+            item([{"type": "image", "src": "u", "alt": "i"}], checked=True), item([{"type": "comment", "content": "c"}, para(t("a"))], checked=True), item([para(t("b"), attrs={"id": "p"})], checked=False), item([{"type": "zzz", "value": "z"}], checked=False),
+            item([], checked=True), item([para(t("d")), para(t("e"))], checked=True)]}],
+        [{"t": "BulletList", "c": [
+            [P(S("☒"), SP, {"t": "Image", "c": [NO, [S("i")], ["u", ""]]})], [{"t": "Plain", "c": [S("☒"), SP, S("a")]}], [{"t": "Plain", "c": [S("☐"), SP]}, {"t": "Div", "c": [["p", [], []], [{"t": "Plain", "c": [S("b")]}]]}], [P(S("☐"), SP, S("z"))],
+            [{"t": "Plain", "c": [S("☒"), SP]}], [{"t": "Plain", "c": [S("☒"), SP, S("d")]}, {"t": "Plain", "c": [S("e")]}]]}],
+    ),
+    "cited in notes": (
+        [para(cite(), ref("a"), cite(), ref("b"), ref("a"), cite()), note("a", para(cite(), ref("c"), cite())), note("b", para(cite())), note("c", para({"type": "inline_footnote", "inline": [cite()]}, cite()))],
+        [P(cited(1), N_(P(cited(1), N_(P(N_(P(cited(1))), cited(2))), cited(3))), cited(4), N_(P(cited(4))), N_(P(cited(5), N_(P(N_(P(cited(5))), cited(6))), cited(7))), cited(8))],
+    ),
     "extensions": (
         [para({"type": "inline_extension", "name": "k", "content": [t("e")]}, {"type": "inline_extension", "name": "l", "content": "f g"}, {"type": "substitution", "oldText": "o", "newText": "n"}, {"type": "abbreviation", "abbr": "ab", "expansion": "long"}, {"type": "literal_inline", "content": "a  b"}, {"type": "raw_inline", "format": "html", "content": "<i>"}, {"type": "escaped_text", "value": "*"})],
         [P({"t": "Span", "c": [["", ["ext-k"], []], [S("e")]]}, {"t": "Span", "c": [["", ["ext-l"], []], [S("f"), SP, S("g")]]}, {"t": "Span", "c": [["", ["substitution"], []], [{"t": "Span", "c": [["", ["deletion"], []], [S("o")]]}, S("→"), {"t": "Span", "c": [["", ["insertion"], []], [S("n")]]}]]},
@@ -156,12 +225,24 @@ CASES = {
 }
 
 
+#: One document each that is no document after all.
+BAD = {
+    "level": '{"type":"heading","level":"two","children":[]}', "start": '{"type":"list","ordered":true,"start":[1],"items":[]}', "id": '{"type":"paragraph","attrs":{"id":5},"children":[]}', "classes": '{"type":"paragraph","attrs":{"classes":"x"},"children":[]}',
+    "values": '{"type":"paragraph","attrs":{"classes":[["x"]]},"children":[]}', "too deep": '{"type":"block_quote","children":[' * 100_000 + "]}" * 100_000,
+}
+
+
+def json_of(depth):
+    return '{"type":"document","children":[' + '{"type":"block_quote","children":[' * depth + json.dumps(para(t("x"))) + "]}" * depth + "]}"
+
+
 @pytest.fixture(scope="module")
 def converted(spark):
     rows = [(name, json.dumps({"type": "document", "children": children})) for name, (children, _) in CASES.items()]
-    rows += [("broken", "{"), ("other", '{"type": "text"}'), ("null", None)]
+    rows += [("broken", "{"), ("other", '{"type": "text"}'), ("null", None), *(((k, f'{{"type":"document","children":[{v}]}}')) for k, v in BAD.items())]
+    rows += [("deep", json_of(DEEP))]
     nodes, errors = flatten(spark.createDataFrame(rows, "doc string, ast string"))
-    found = {r.doc: json.loads(r.json) for r in forward.convert(nodes, {"sun": "☼"}).collect()}
+    found = {r.doc: r.json if r.doc == "deep" else json.loads(r.json) for r in forward.convert(nodes, {"sun": "☼"}).collect()}
     return nodes, found, {r.doc for r in errors.collect()}
 
 
@@ -171,7 +252,13 @@ def test_document(converted, name):
 
 
 def test_what_is_no_document_is_reported(converted):
-    assert converted[2] == {"broken", "other", "null"}
+    assert converted[2] == {"broken", "other", "null", *BAD}
+    assert converted[1].keys() == {*CASES, "deep"}
+
+
+def test_depth_is_no_limit(converted):
+    inner = '{"t":"Para","c":[{"t":"Str","c":"x"}]}'
+    assert converted[1]["deep"].endswith('"blocks":[' + '{"t":"BlockQuote","c":[' * DEEP + inner + "]}" * DEEP + "]}")
 
 
 def test_warnings(converted):
@@ -181,7 +268,10 @@ def test_warnings(converted):
         ("references", "crossref-unresolved"), ("notes", "reference-unresolved"), ("citation", "citation-locator-flattened"), ("table", "table-groups-normalized"),
         ("spans", "symbol-unresolved"), ("unknown", "unknown-carve-block"), ("unknown", "comment-dropped"), ("broken links", "reference-unresolved"), ("misfit groups", "table-groups-normalized"),
         ("old forms", "crossref-unresolved"), ("integral", "citation-mode-normalized"), ("extensions", "inline-extension-degraded"),
+        ("no list table", "list-table-structure-degraded"), ("list table, clipped", "list-table-rowspan-clipped"), ("boxes", "comment-dropped"), ("boxes", "unknown-carve-block"),
     }
+    kept = {(r.doc, r.code) for r in forward.warnings(ready, roundtrip=True).collect()}
+    assert kept == {x for x in got if x[1] not in ("comment-dropped", "unknown-carve-block", "citation-locator-flattened")}
     assert diagnostics.classify(ready.limit(0).selectExpr("'comment: x' AS m"), "m", "d", strict=True).count() == 0
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from docweft.llm.blocks import Numbers, ragged_places
 from docweft.llm.bpe import Cache, PieceNumbers, byte_letters, load_merges, pieces, pretokens_of_piece
-from docweft.llm.common import keyed, with_checkpoints
+from docweft.llm.common import keyed, saved, with_checkpoints
 
 
 class Vocabulary(NamedTuple):
@@ -243,9 +243,19 @@ def word_counts(rows: DataFrame, vocabulary: Vocabulary, block_bytes: int = 1 <<
 
 
 def lexicon(rows: DataFrame, vocabulary: Vocabulary, most: int = 1 << 16) -> list[np.ndarray]:
-    """The transducer of the `most` most frequent pre-tokens of column text, counted over all rows; ties go to the smaller word."""
-    top = word_counts(rows, vocabulary).orderBy(F.desc("n"), "word").limit(most).collect()
-    words = sorted(bytes(r.word) for r in top)
+    """The transducer of the most frequent pre-tokens of column text, counted over all rows, at most `most` of them.
+
+    Counts are taken in steps of a sixteenth of a power of two, and words of one step come in together or not at all: a few hundred
+    numbers say where to cut, and only the words above the cut reach the driver.
+    """
+    counts = saved(word_counts(rows, vocabulary).withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    taken, cut = 0, None
+    for step, n in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        taken += n
+        if taken > most:
+            break
+        cut = step
+    words = sorted(bytes(r.word) for r in counts.where(F.col("step") >= cut).select("word").collect()) if cut is not None else []
     return compiled(words, [vocabulary.encode(w) for w in words])
 
 

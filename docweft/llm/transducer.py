@@ -14,7 +14,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -26,52 +26,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.blocks import Numbers, ragged_places
-from docweft.llm.bpe import Cache, PieceNumbers, byte_letters, load_merges, pieces, pretokens_of_piece
+from docweft.llm.bpe import PieceNumbers, byte_letters, load_merges, pieces, pretokens_of_piece
 from docweft.llm.common import keyed, saved, with_checkpoints
 
 
+SHIFT = 20  #: ids have fewer bits than this
+
+
 class Vocabulary(NamedTuple):
-    """What a byte-level BPE's .json file says: token bytes to id, pairs to merge rank, special strings to id."""
+    """What a byte-level BPE's .json file says: each byte's id, token bytes to id, special strings to id, and the merges.
+
+    merges: the two ids of a pair, side by side in one number, to the pair's rank and the id that it becomes, likewise.
+    """
 
+    bytes_: list[int]
     ids: dict[bytes, int]
-    merges: dict[tuple[bytes, bytes], int]
+    merges: dict[int, int]
     special: dict[str, int]
     pattern: str
 
     def encode(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: adjacent pairs are merged, lowest rank first, until none is left."""
-        parts, get = [word[i : i + 1] for i in range(len(word))], self.merges.get
+        """Ids of one pre-token: adjacent pairs are merged, lowest rank first and leftmost among equals, until none is left."""
+        symbols, get, none, mask = [self.bytes_[b] for b in word], self.merges.get, len(self.merges) << SHIFT, (1 << SHIFT) - 1
         if len(word) > 100:
-            parts = self._merged(parts)
-        else:
-            none = len(self.merges)
-            ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
-            while ranks and (low := min(ranks)) < none:
-                i = ranks.index(low)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del ranks[i]
-                for j in range(max(i - 1, 0), min(i + 1, len(ranks))):
-                    ranks[j] = get((parts[j], parts[j + 1]), none)
-        return [self.ids[p] for p in parts]
-
-    def _merged(self, parts: list[bytes]) -> list[bytes]:
-        """The same for long words: a heap of (rank, left place, both symbols), symbols linked by the places beside them."""
-        get, after, before = self.merges.get, list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        symbols: list[bytes | None] = list(parts)
-        heap = [(r, i, p) for i, p in enumerate(zip(parts, parts[1:])) if (r := get(p)) is not None]
+            return self._merged(symbols)
+        ranks = [get(a << SHIFT | b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            symbols[i : i + 2] = [low & mask]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] << SHIFT | symbols[i], none)
+            if i < len(ranks):
+                ranks[i] = get(symbols[i] << SHIFT | symbols[i + 1], none)
+        return symbols
+
+    def _merged(self, symbols: list[int]) -> list[int]:
+        """The same for long words: a heap of (rank and new id, left place, pair), symbols linked by the places beside them."""
+        get, n, mask = self.merges.get, len(symbols), (1 << SHIFT) - 1
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
+        heap = [(r, i, p) for i in range(n - 1) if (r := get(p := symbols[i] << SHIFT | symbols[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i]
-            if j >= len(parts) or (symbols[i], symbols[j]) != pair:
+            if gone[i] or j >= n or symbols[i] << SHIFT | symbols[j] != pair:
                 continue
-            symbols[i], symbols[j], after[i] = pair[0] + pair[1], None, after[j]
-            if after[i] < len(parts):
+            symbols[i], gone[j], after[i] = rank & mask, True, after[j]
+            if after[i] < n:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < len(parts) and (r := get(beside := (symbols[left], symbols[right]))) is not None:
-                    heapq.heappush(heap, (r, left, beside))
-        return [s for s in symbols if s is not None]
+                if left >= 0 and right < n and (r := get(p := symbols[left] << SHIFT | symbols[right])) is not None:
+                    heapq.heappush(heap, (r, left, p))
+        return [s for s, out in zip(symbols, gone) if not out]
 
 
 def load_vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -81,7 +88,8 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
         data = json.load(f)
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
     ids = {bytes(letters[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
-    return Vocabulary(ids, load_merges(path)[0], special, pattern)
+    merges = {ids[a] << SHIFT | ids[b]: rank << SHIFT | ids[a + b] for (a, b), rank in load_merges(path)[0].items()}
+    return Vocabulary([ids[bytes([b])] for b in range(256)], ids, merges, special, pattern)
 
 
 def compiled(words: list[bytes], ids: list[list[int]]) -> list[np.ndarray]:
@@ -198,12 +206,40 @@ class Words(Numbers):
         return chain(map(self.__getitem__, self.match(first)), chain.from_iterable(map(self.of_piece.__getitem__, rest)))
 
     def add(self, text: str) -> np.ndarray:
+        """The numbers of the text's words."""
         if not any(s in text for s in self.special):
             return np.fromiter(self.plain(text), np.int32)
         parts = self.at_special.split(text)  # texts and special strings in turn
         return np.fromiter(chain.from_iterable((self[self.special[p]],) if i % 2 else self.plain(p) for i, p in enumerate(parts)), np.int32)
 
 
+class WordIds(Words):
+    """Words that keep their numbers from block to block, each with its ids: the lexicon's, or merged on first use."""
+
+    def __init__(self, vocabulary: Vocabulary, known: Lexicon):
+        super().__init__(vocabulary)
+        self.of_piece.most = 250_000
+        self.encode, self.known, self.done = vocabulary.encode, known, 0
+        self.flat, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in one array, and by number each word's start and size in it."""
+        words, known = list(islice(self, self.done, None)), self.known
+        places = known.places(pa.array([b"" if isinstance(w, int) else w.encode() for w in words], pa.binary()))
+        there = places >= 0
+        own = [[words[i]] if isinstance(words[i], int) else self.encode(words[i].encode()) for i in np.flatnonzero(~there)]
+        sizes = np.empty(len(words), np.int64)
+        sizes[there] = known.starts[places[there] + 1] - known.starts[places[there]]
+        sizes[~there] = [len(o) for o in own]
+        flat = np.empty(sizes.sum(), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        flat[ragged_places(begins[there], sizes[there])] = known.ids[ragged_places(known.starts[places[there]], sizes[there])]
+        flat[ragged_places(begins[~there], sizes[~there])] = np.fromiter(chain.from_iterable(own), np.int64)
+        self.begins, self.sizes = np.concatenate([self.begins, begins + len(self.flat)]), np.concatenate([self.sizes, sizes])
+        self.flat, self.done = np.concatenate([self.flat, flat]), len(self)
+        return self.flat, self.begins, self.sizes
+
+
 def at_special(special: dict[str, int]) -> regex.Pattern:
     return regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
 
@@ -260,12 +296,12 @@ def lexicon(rows: DataFrame, vocabulary: Vocabulary, most: int = 1 << 16) -> lis
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", most: int = 1 << 16, block_bytes: int = 1 << 22, merged: int = 100_000
+    docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", most: int = 1 << 16, block_bytes: int = 1 << 22, most_words: int = 250_000
 ) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids of the whole text, special strings recognised, as little-endian unsigned 32-bit integers.
 
-    The lexicon holds `most` words, a worker keeps the ids of at most `merged` words that it merged itself, and a block of
-    texts has block_bytes (a longer text is a block of its own). Null and empty texts have no ids; repeated rows and null keys come
+    The lexicon holds `most` words; a worker keeps the ids of words that it has met, and begins anew once they are more than
+    most_words; a block of texts has block_bytes (a longer text is a block of its own). Null and empty texts have no ids; repeated rows and null keys come
     out as they came in; an empty table gives no rows. The words are counted and the texts encoded in two passes over docs.
     """
     rows = keyed(docs, key, text)
@@ -273,27 +309,11 @@ def encode_documents(
     name = publish(spark, lexicon(rows, vocabulary, most))
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def ids_of(words: list, merge: Cache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in one array, and each word's start and size in it."""
-        known = opened(name)
-        raw = pa.array([b"" if isinstance(w, int) else w.encode() for w in words], pa.binary())
-        places = known.places(raw)
-        own = [[words[i]] if isinstance(words[i], int) else merge[words[i]] for i in np.flatnonzero(places < 0)]
-        sizes = np.empty(len(words), np.int64)
-        begins = np.empty(len(words), np.int64)
-        there = places >= 0
-        begins[there] = known.starts[places[there]]
-        sizes[there] = known.starts[places[there] + 1] - begins[there]
-        sizes[~there] = [len(o) for o in own]
-        begins[~there] = len(known.ids) + np.cumsum(sizes[~there]) - sizes[~there]
-        return np.concatenate([known.ids, np.fromiter(chain.from_iterable(own), np.int64)]).astype("<u4"), begins, sizes
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = Cache(lambda w: shared.value.encode(w.encode()), merged)
-        words, numbers, keys, size = Words(shared.value), [], [], 0
+        words, numbers, keys, size = WordIds(shared.value, opened(name)), [], [], 0
 
         def shut() -> Iterator[pa.RecordBatch]:
-            flat, begins, sizes = ids_of(words.distinct(), merge)
+            flat, begins, sizes = words.table()
             at = 0
             for part in keys:
                 made = [flat[ragged_places(begins[n], sizes[n])] for n in numbers[at : at + len(part)]]
@@ -310,7 +330,7 @@ def encode_documents(
                 keys.append(part.column("key"))
                 if size >= block_bytes:
                     yield from shut()
-                    words, numbers, keys, size = Words(shared.value), [], [], 0
+                    words, numbers, keys, size = words if len(words) < most_words else WordIds(shared.value, opened(name)), [], [], 0
         if numbers:
             yield from shut()
 

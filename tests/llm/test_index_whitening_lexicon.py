@@ -81,7 +81,8 @@ def test_ranked_search_on_nothing(spark):
     one = spark.createDataFrame([(1, "word")], "item_id long, text string")
     assert lexical.top_documents(none, one).count() == 0
     assert lexical.top_documents(one.withColumnRenamed("item_id", "doc_id"), none.withColumnRenamed("doc_id", "item_id")).count() == 0
-    assert lexical.top_documents(one.selectExpr("item_id doc_id", "text", "text"), one.selectExpr("item_id", "text", "item_id")).count() == 0  # two columns of one name; a term of every document
+    twice = lexical.top_documents(one.selectExpr("item_id doc_id", "text", "text"), one.selectExpr("item_id", "text", "item_id"))  # two columns of one name
+    assert [r.doc_id for r in twice.collect()] == [1]
 
 
 VECTORS = [(i, [RNG.gauss(0, 0.2 + d / 7) for d in range(7)]) for i in range(60)]
@@ -166,7 +167,7 @@ def test_transducer_encoding_is_the_librarys(spark, docs, vocabulary, most, bloc
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     more = [(400, "<|endoftext|>", None), (401, "a <|endoftext|><|endoftext|>  b", None), (402, "Hello" * 300 + " ", None), (403, "\x00​  x", None), (404, "中文 测试\n\n", None), (405, "<|endoftext|", None)]
     table = docs.select("doc_id", "text", "key", "size").unionByName(spark.createDataFrame([(a, b, "k", 1) for a, b, _ in more], "doc_id long, text string, key string, size int"))
-    got = transducer.decode_documents(transducer.encode_documents(table, vocabulary, most=most, block_bytes=block_bytes), vocabulary)
+    got = transducer.decode_documents(transducer.encode_documents(table, vocabulary, most=most, block_bytes=block_bytes, most_words=50), vocabulary)
     want = Counter()
     for key, t, _ in ROWS + more:
         ids = library.encode(t or "", add_special_tokens=False).ids

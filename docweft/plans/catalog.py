@@ -5,11 +5,11 @@ The tables hold no document trees, so every binding is a choice made here; `ORAC
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import attributes, text
-from docweft.operators import counters, diagnostics, quotes, resolve, runs, tables
+from docweft.operators import corpus, counters, diagnostics, quotes, resolve, runs, tables
 from docweft.plans import trees
 from docweft.plans.registry import ORACLES, QUERIES, query, read
 
@@ -497,3 +497,37 @@ SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::INTEGER AS h1, len(reg
 def html_outline(spark, d):
     count = lambda tag: F.regexp_count("html", F.lit(f"<{tag}[ >]")).alias(tag)
     return read(spark, d, "pages").select("page_id", *[count(t) for t in ("h1", "p", "li", "a")])
+
+
+HTML_SQL = r"""
+WITH tagged AS (SELECT page_id, string_split(regexp_replace(replace(html, chr(1), ''), '(<[A-Za-z0-9_]+(?:[\s\x0B\x{A0}]+[A-Za-z0-9_:-]+(?:="[^"]*")?)+[\s\x0B\x{A0}]*/?>)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS parts FROM pages),
+whole AS (SELECT page_id, array_to_string(list_transform(parts, lambda p, i: CASE WHEN i % 2 = 0 THEN '<' || regexp_extract(p, '^<([A-Za-z0-9_]+)', 1) || ' '
+  || array_to_string(list_sort(regexp_extract_all(regexp_extract(p, '^<[A-Za-z0-9_]+(.*?)/?>$', 1, 's'), '[A-Za-z0-9_:-]+(?:="[^"]*")?')), ' ') || CASE WHEN p LIKE '%/>' THEN '/' ELSE '' END || '>' ELSE p END), '') AS h FROM tagged)
+SELECT page_id, md5(trim(regexp_replace(h, '[\s\x0B\x{A0}]+', ' ', 'g'))) AS digest FROM whole
+"""
+
+
+@query(HTML_SQL)
+def html_normalised(spark, d):
+    """Pages with the attributes of each tag in order and runs of white space as one space."""
+    return read(spark, d, "pages").select("page_id", F.md5(corpus.normal_html(F.col("html"))).alias("digest"))
+
+
+@query(r"""
+WITH RECURSIVE lines AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+    CASE event_type WHEN 'view' THEN '::: compare' WHEN 'click' THEN ' :::: compare as ' || event_id WHEN 'purchase' THEN ':::' WHEN 'signup' THEN '::::' ELSE event_type END AS line FROM events),
+walk AS (
+  SELECT user_id, 0::BIGINT AS i, '' AS marker, 0::BIGINT AS declared FROM (SELECT DISTINCT user_id FROM lines)
+  UNION ALL
+  SELECT w.user_id, l.i, CASE WHEN marker <> '' THEN CASE WHEN trim(line) = marker THEN '' ELSE marker END WHEN regexp_full_match(trim(line), ':{3,}\s+compare(\s+\S.*)?') THEN regexp_extract(trim(line), '^:+') ELSE '' END,
+    declared + CASE WHEN marker = '' AND regexp_full_match(trim(line), ':{3,}\s+compare(\s+\S.*)?') THEN 1 ELSE 0 END
+  FROM walk w JOIN lines l ON l.user_id IS NOT DISTINCT FROM w.user_id AND l.i = w.i + 1)
+SELECT user_id, max(declared)::BIGINT AS declared FROM walk GROUP BY user_id
+""")
+def declared_blocks(spark, d):
+    """How many example blocks the lines of each user's events open, a line an event."""
+    t, n = F.col("event_type"), F.col("event_id").cast("string")
+    line = F.when(t == "view", "::: compare").when(t == "click", F.concat(F.lit(" :::: compare as "), n)).when(t == "purchase", ":::").when(t == "signup", "::::").otherwise(t)
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return corpus.declared_blocks(read(spark, d, "events").select("user_id", at.alias("at"), line.alias("line")), "user_id", "at", "line", size=64)

@@ -56,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gives no rows.
     """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path)
+    decoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -262,10 +262,14 @@ class DistinctPreTokens:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 23, shard_bytes: int = 1 << 23
-) -> DataFrame:
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 23, shard_bytes: int = 1 << 23,
+    decode: bool = False,
+) -> DataFrame:
     """(key, n_tokens, ids) for every row: ids by the ranks at path (.tiktoken), as little-endian unsigned 32-bit integers.
 
+    With decode, decoded too: what decode_documents() makes of the ids, in the worker that puts them together, so that a
+    task has one worker and not two.
+
     docs must be a stored table or another input whose rows don't change between two reads: its pre-tokens and their
     positions are two passes over it. (Blocks are named by their content; should a read differ, the job fails and does
     not mix them up.) Distinct pre-tokens are dealt by their hash to shards, one for each shard_bytes of text, in packs of
@@ -300,15 +304,21 @@ def encode_documents(
     def assemble(table: pa.Table) -> pa.Table:
         block = open_block(table)
         flat, begins, sizes = block.ragged(table, unit)
-        ids, counts = [], []
+        ids, counts, decoded = [], [], []
         for numbers in block.documents():
             n = sizes[numbers]
             ids.append(flat[ragged_places(begins[numbers], n)].astype("<u4").tobytes())
             counts.append(int(n.sum()))
-        out = pa.table({"key": block.keys, "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.binary())})
-        return pa.concat_tables([out] * copies(table))
-
-    schema = T.StructType([T.StructField("key", key_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+            if decode:
+                decoded.append(decoded_ids(ids[-1], path))
+        made = {"key": block.keys, "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.binary())}
+        out = pa.table({**made, "decoded": pa.array(decoded, pa.binary())} if decode else made)
+        # In slices, so that no batch on its way back holds a whole block.
+        parts = [b for at in range(0, len(out), 500) for b in out.slice(at, 500).to_batches()]
+        return pa.Table.from_batches(parts * copies(table), out.schema)
+
+    bodies = ["ids", "decoded"] if decode else ["ids"]
+    schema = T.StructType([T.StructField("key", key_type), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in bodies]])
     out = encoded.unionByName(order).groupBy("block").applyInArrow(assemble, schema)
     return out.withColumnRenamed("key", key)
 
@@ -322,6 +332,19 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes
 
 
+def decoded_ids(blob: bytes | None, path: str) -> bytes | None:
+    """The bytes of ids, by the token-byte table; null gives null."""
+    if blob is None:
+        return None
+    data, begins, sizes = token_bytes(path)
+    out = []
+    for at in range(0, len(blob), 1 << 20):
+        tokens = np.frombuffer(blob[at : at + (1 << 20)], "<u4")
+        n = sizes[tokens]
+        out.append(data[ragged_places(begins[tokens], n)].tobytes())
+    return b"".join(out)
+
+
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """encoded with the bytes of its ids added: a map-side join with the token-byte table, as large as the vocabulary.
 
@@ -329,22 +352,11 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", into: str
     """
     kept = encoded.schema.fields
 
-    def each(blob: bytes | None) -> bytes | None:
-        if blob is None:
-            return None
-        data, begins, sizes = token_bytes(path)
-        out = []
-        for at in range(0, len(blob), 1 << 20):
-            tokens = np.frombuffer(blob[at : at + (1 << 20)], "<u4")
-            n = sizes[tokens]
-            out.append(data[ragged_places(begins[tokens], n)].tobytes())
-        return b"".join(out)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                made = pa.array([each(b) for b in part.column(ids).to_pylist()], pa.binary())
+                made = pa.array([decoded_ids(b, path) for b in part.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*(f.name for f in kept), into])
 
     return encoded.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.BinaryType())]))

@@ -119,12 +119,12 @@ def mixed(
     """The rows of docs in training order: each whole document once for every lap in which the mix takes words of it.
 
     Documents of which nothing is taken go. Rows equal in key, source and size share their number of laps, that of the
-    first of them. Columns stay; see mix() for nulls.
+    first of them. Columns stay; of columns of one name the first counts; see mix() for nulls.
     """
-    plan = mix(docs, key, text, source, weights, total, most, curriculum)
-    first = plan.groupBy(F.col(key).alias("key"), "source", "size").agg(F.min_by(F.struct("source_size", "target", "rank", "first_at"), "first_at").alias("at"))
-    first = first.select("key", F.col("source").alias("of"), F.col("size").alias("words"), "at.*")
     rows, names = numbered_columns(docs)
+    plan = mix(rows, names[key], names[text], names[source], weights, total, most, curriculum)
+    first = plan.groupBy(F.col(names[key]).alias("key"), "source", "size").agg(F.min_by(F.struct("source_size", "target", "rank", "first_at"), "first_at").alias("at"))
+    first = first.select("key", F.col("source").alias("of"), F.col("size").alias("words"), "at.*")
     matched = (
         F.col(names[key]).eqNullSafe(first["key"]) & F.col(names[source]).eqNullSafe(first["of"]) & (word_count(F.col(names[text])) == first["words"])
     )

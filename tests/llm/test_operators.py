@@ -78,7 +78,19 @@ def test_encoding_is_the_librarys_and_decodes(docs, empty):
     for block_bytes in (500, 1 << 24):
         got = bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN, block_bytes=block_bytes), path)
         assert bag((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in got.collect()) == want
-    assert bpe.encode_documents(empty, path, P.PATTERN).count() == 0
+        fused = bpe.encode_documents(docs, path, P.PATTERN, block_bytes=block_bytes, decode=True)
+        assert bag((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in fused.collect()) == want
+    for decode in (False, True):
+        assert bpe.encode_documents(empty, path, P.PATTERN, decode=decode).count() == 0
+
+
+def test_columns_of_one_name(docs):
+    """Of two columns of one name the first counts, and both stay."""
+    twice = docs.select("doc_id", "text", "source", F.lit("x").alias("text"), F.lit(-1).alias("doc_id"), F.lit("y").alias("source"))
+    for made in (line_dedup.deduplicate, mixing.mixed):
+        got, want = made(twice), made(docs)
+        assert got.columns == twice.columns
+        assert bag(map(tuple, got.toDF(*"abcdef").select("a", "b", "c").collect())) == bag(map(tuple, want.select("doc_id", "text", "source").collect()))
 
 
 def test_token_counts_are_the_librarys(docs, empty):

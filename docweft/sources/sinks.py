@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+LOSSES = ("lossy", "unsupported")
+
+
 class LossError(RuntimeError):
     """Something was lost that the caller wanted kept."""
 
@@ -29,7 +32,7 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 def refuse_losses(diagnostics: DataFrame) -> DataFrame:
     """The diagnostics, if none is a loss; else LossError, which names how many there are by code."""
-    lost = diagnostics.where(F.col("severity").isin("lossy", "unsupported")).groupBy("code").count().orderBy("code").collect()
+    lost = diagnostics.where(F.col("severity").isin(*LOSSES)).groupBy("code").count().orderBy("code").collect()
     if lost:
         raise LossError(", ".join(f"{r['code']}: {r['count']}" for r in lost))
     return diagnostics

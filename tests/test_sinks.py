@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.operators import diagnostics, forward
-from docweft.sources import sinks
+from docweft.sources import gate, sinks
 from docweft.sources.nodes import flatten, read_documents, read_lines
 from docweft.streaming import convert
 
@@ -38,6 +38,28 @@ def test_losses_are_refused(spark, tmp_path):
         diagnostics.classify(rows.select("doc", F.lit("what").alias("m")), "m", "d", strict=True).collect()
 
 
+def test_gated_sink(spark, tmp_path):
+    """One job commits both outputs or leaves nothing behind."""
+    rows = spark.createDataFrame([("d", "comment: x"), ("d", "comment: y"), ("e", "symbol: :a:")], "doc string, m string")
+    found = diagnostics.classify(rows, "m", "carve-to-pandoc").repartition(3)
+    docs = spark.createDataFrame([("d", '{"a":"é"}'), ("d", '{"a":"é"}'), ("e", "{}"), ("f", None)], "doc string, json string").repartition(2)
+    out = str(tmp_path / "out")
+    lines = lambda name: sorted(r.value for r in spark.read.text(f"{out}/{name}").collect())
+    with pytest.raises(sinks.LossError, match="^comment-dropped: 2$"):
+        gate.write_gated(docs, found, out)
+    assert not list(tmp_path.glob("out/*"))
+    gate.write_gated(docs, found.where("doc = 'e'"), f"file:{out}")
+    assert lines("documents") == ['{"a":"é"}', '{"a":"é"}', "{}"] and [json.loads(x)["code"] for x in lines("diagnostics")] == ["symbol-unresolved"]
+    gate.write_gated(docs.where("doc = 'e'"), found, out, allow_loss=True)
+    assert len(lines("documents")) == 4 and len(lines("diagnostics")) == 4
+    gate.write_gated(docs.limit(0), found.limit(0), f"{out}/none")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["diagnostics", "documents", "none"] and not list((tmp_path / "out/none").glob("*/*"))
+    broken = docs.withColumn("json", F.when(F.col("doc") == "e", F.raise_error(F.lit("broken off"))).otherwise(F.col("json")))
+    with pytest.raises(Exception, match="broken off"):
+        gate.write_gated(broken, found, f"{out}/broken", allow_loss=True)
+    assert not list(tmp_path.glob("out/broken/*"))
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in range(2):

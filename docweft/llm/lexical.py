@@ -187,15 +187,16 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "do
     reading = terms.withColumn("tier", F.lit(0))  # what is read now
     read = reading  # how far each term of an open item has been read
     first = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("key"), "row")
-    for tier in range((deepest if deepest is not None else -1) + 1):
+    # A term may stay where it is for a round, so there can be more rounds than tiers; from then on no term of an open item stays.
+    for round_ in range(2 * deepest + 1 if deepest is not None else 0):
         bounds = _with_residual(read, index)
         limit = saved(bounds.groupBy("item").agg(F.sum(F.col("w") * F.col("residual")).alias("unseen")))
         asks = saved(_with_residual(reading, index))
-        found = index.postings(tier).join(small(asks), ["term", "tier"])
+        found = index.postings(round_).join(small(asks), ["term", "tier"])
         seen = found.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum(F.col("w") * (F.col("impact") - F.col("residual"))).alias("over"))
-        if tier == 0:
+        if round_ == 0:
             seen = saved(seen)
-        least = saved(_kth(best if tier else seen, k))
+        least = saved(_kth(best if round_ else seen, k))
         held = seen.join(small(limit), "item").join(small(least), "item", "left").where(F.col("over") + F.col("unseen") >= F.coalesce("least", F.lit(0)))
         pairs = saved(held.select("item", "row"))
         scored = full_scores(pairs, index, terms, stats)
@@ -204,7 +205,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "do
         proof = F.coalesce("least", F.lit(0).cast("long"))
         open_ = bounds.join(limit.join(_kth(best, k), "item", "left").where((F.col("unseen") > 0) & (F.col("unseen") >= proof)).select("item", proof.alias("least")), "item")
         left = F.sum(F.col("w") * F.col("residual")).over(Window.partitionBy("item").orderBy(F.col("w") * F.col("residual"), "term"))
-        moved = open_.withColumn("falls", (F.col("residual") > 0) & (left >= F.col("least")))
+        moved = open_.withColumn("falls", (F.col("residual") > 0) & ((left >= F.col("least")) | F.lit(round_ >= deepest)))
         read = saved(moved.select("item", "term", "w", (F.col("tier") + F.col("falls").cast("int")).alias("tier"), "falls"))
         reading = read.where("falls").drop("falls")
         read = read.drop("falls")

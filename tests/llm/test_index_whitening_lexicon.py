@@ -76,6 +76,17 @@ def test_ranked_search_reads_lower_tiers_only_for_items_without_proof(spark, mon
     assert len(read) > 1 and bag(tuple(r) for r in got) == brute_ranks([tuple(r) for r in table.collect()], [(1, "common")], 280)
 
 
+def test_ranked_search_goes_on_for_terms_that_stayed_behind(spark, monkeypatch):
+    """A term may stay in its tier for a round and fall later, so that one round for each tier is too few."""
+    for name, value in (("FIRST", 2), ("GROWTH", 8), ("STEP", 4)):
+        monkeypatch.setattr(lexical, name, value)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(rng.choice([4, 6, 8]))]
+    docs = [(i, " ".join(rng.choices(words, k=1 + int(rng.lognormvariate(1.2, 1))))) for i in range(100)]
+    table, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    assert bag(tuple(r) for r in lexical.top_documents(table, asked, k=3).collect()) == brute_ranks(docs, [(0, " ".join(words))], 3)
+
+
 def test_ranked_search_on_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     one = spark.createDataFrame([(1, "word")], "item_id long, text string")

@@ -66,77 +66,90 @@ def search(
     return scores, alive
 
 
-FACTS = ("ids", "names", "copies")  #: of each candidate in a block
+FACTS = ("ids", "names", "copies", "asks")  #: of each vector in a pack
+
+
+def packed(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, name, n, asks, v) in packs of at most `most`: facts and vectors, as columns of one array, in bytes."""
+    for at in range(0, batch.num_rows, most):
+        part = batch.slice(at, most)
+        values = part.column("v")
+        offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
+        grid = columns_of([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        facts = [part.column(c).to_numpy() for c in ("id", "name", "n", "asks")]
+        arrays = [pa.array([int(facts[1][0])]), pa.array([grid.shape[0]], pa.int32()), *[pa.array([f.tobytes()], pa.binary()) for f in (*facts, grid)]]
+        yield pa.RecordBatch.from_arrays(arrays, ["first", "dims", *FACTS, "grid"])
+
+
+class Share:
+    """Candidates of one share: ids, names and copies, their vectors as columns, and what `search` wants to know of them."""
+
+    def __init__(self, packs: list[tuple[np.ndarray, ...]]):
+        self.ids, self.names, self.copies = (np.concatenate([p[i] for p in packs]) for i in range(3))
+        grids = [p[-1] for p in packs]
+        dims = max(map(len, grids))
+        self.whole = np.hstack([np.pad(g, ((0, dims - len(g)), (0, 0))) for g in grids])
+        self.most = max(dims, 1) * float(np.abs(self.whole).max(initial=1))
+        self.fine, self.left = self.whole.astype(float), norms_left(self.whole)
+
+    def best(self, query_id: int, name: int, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """(id, score, copies) of the k best for a query, ties to the smaller id."""
+        grid = self.fine if self.most * float(np.abs(q).max(initial=1)) < 2**52 else self.whole
+        q_left = norms_left(np.pad(q, (0, max(len(q), len(grid)) - len(q)))[:, None])[:, 0]
+        others = self.copies - ((self.ids == query_id) & (self.names == name))
+        scores, places = search(q.astype(grid.dtype), q_left, grid, self.left, np.flatnonzero(others), k, -np.inf)
+        for i in np.lexsort((self.ids[places], -scores))[:k]:
+            yield int(self.ids[places[i]]), int(scores[i]), min(int(others[places[i]]), k)
 
 
 def exact_top_k(
-    vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, by: int = 256, block: int = 4096, queries: int = 8192, spread: int = 48
+    vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, by: int = 256, block: int = 512, queries: int = 512, spread: int = 48, share_bytes: int = 1 << 25
 ) -> DataFrame:
     """(query_id, rank, key, score): the k highest integer inner products of every query with all other rows.
 
     is_query, over vectors, picks the queries. Vectors of null key, or null, or holding null or non-finite components take
     no part; a shorter vector counts as filled up with zeros. Every row but the query's own is a candidate, rows that repeat
     its key or are equal to it too; ties go to the smaller key. A query row that is there twice gives its answer twice.
-    Rows equal in key and vector are one candidate with a number, so results don't depend on their order. Candidates are
-    packed in blocks of `block`; queries in groups of about `queries`, which are sent to each of `spread` shares of the
-    blocks, so what is shuffled is the candidates once a group and the queries once a share. Each share keeps k for each
-    query; fewer than k candidates give what there is.
+    Rows equal in key and vector are one candidate with a number, so results don't depend on their order. Candidates go in
+    packs of at most `block` to one of `spread` shares or more, so many that one has about share_bytes; queries go in packs of
+    at most `queries` to every share. A share holds its candidates and answers each query as it comes, with k rows; so the
+    candidates are shuffled once, nothing is joined, and neither a row nor the driver has to hold more as the table grows.
     """
     usable = vectors.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), by).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = saved(usable.groupBy("id", "v").agg(F.count("*").alias("n"), F.count_if("q").alias("asks")).withColumn("name", F.xxhash64("id", "v")))
-    asked = rows.where("asks > 0")
-    n = max(1, -(-asked.count() // queries))
-    spread = max(spread, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = rows.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    spread = max(spread, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * cells // share_bytes))
+    kinds = "first long, dims int, " + ", ".join(f"{c} binary" for c in (*FACTS, "grid"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                values = part.column("v")
-                offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
-                grid = columns_of([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                facts = [part.column(c).to_numpy() for c in ("id", "name", "n")]
-                arrays = [pa.array([int(facts[1][0])]), pa.array([grid.shape[0]], pa.int32()), *[pa.array([f.tobytes()], pa.binary()) for f in (*facts, grid)]]
-                yield pa.RecordBatch.from_arrays(arrays, ["first", "dims", *FACTS, "grid"])
-
-    packed = rows.select("id", "v", "name", "n").mapInArrow(pack, "first long, dims int, ids binary, names binary, copies binary, grid binary")
-    offered = packed.select("dims", *FACTS, "grid", F.pmod(F.xxhash64("first"), F.lit(spread)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("group"))
-    grouped = asked.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias("group")).agg(F.collect_list(F.struct("id", "name", "v")).alias("asked"))
-    sent = grouped.select("group", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("share"))
+    def packs(some: DataFrame, most: int) -> DataFrame:
+        return some.select("id", "name", "n", "asks", "v").mapInArrow(lambda batches: (p for b in batches for p in packed(b, most)), kinds)
+
+    offered = packs(rows, block).withColumn("share", F.pmod(F.xxhash64("first"), F.lit(spread)).cast("int")).withColumn("asking", F.lit(False))
+    asked = packs(rows.where("asks > 0"), queries).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("asking", F.lit(True))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        at, waiting, share = None, [], None
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, names, copies = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in FACTS)
-                grid = np.frombuffer(batch.column("grid")[row].as_py(), np.int64).reshape(batch.column("dims")[row].as_py(), len(ids))
-                asked = batch.column("asked")[row].values
-                values = asked.field("v")
-                offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
-                exact = max(len(grid), 1) * float(np.abs(grid).max(initial=1)) * float(np.abs(flat).max(initial=1)) < 2**52
-                grid = grid.astype(float) if exact else grid
-                left = norms_left(grid)
-                for i, own in enumerate(zip(asked.field("id").to_pylist(), asked.field("name").to_pylist(), strict=True)):
-                    q = flat[offsets[i] : offsets[i + 1]].astype(grid.dtype)
-                    s, c, t = best.get(own, none)
-                    width = max(len(q), len(grid))
-                    q_left = norms_left(np.pad(q, (0, width - len(q)))[:, None])[:, 0]
-                    others = copies - ((ids == own[0]) & (names == own[1]))
-                    found, places = search(q, q_left, grid, left, np.flatnonzero(others), k, s[-1] if len(s) == k else -np.inf)
-                    s, c, t = (np.concatenate(x) for x in ((s.astype(found.dtype), found), (c, ids[places]), (t, others[places])))
-                    order = np.lexsort((c, -s))[:k]
-                    best[own] = s[order], c[order], t[order]
-        rows = [(*own, int(c), int(s), min(int(t), k)) for own, found in best.items() for s, c, t in zip(*found, strict=True)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "name", "id", "score", "copies"])
-
-    met = offered.join(sent, ["group", "share"]).select("dims", *FACTS, "grid", "asked")
-    near = copied(met.mapInArrow(probe, "query_id long, name long, id long, score long, copies long"), "copies", "copy")
+            for row in batch.to_pylist():
+                if row["share"] != at:
+                    at, waiting, share = row["share"], [], None
+                ids, names, copies, asks = (np.frombuffer(row[c], np.int64) for c in FACTS)
+                grid = np.frombuffer(row["grid"], np.int64).reshape(row["dims"], len(ids))
+                if not row["asking"]:
+                    waiting.append((ids, names, copies, grid))
+                    continue
+                if waiting:
+                    share, waiting = Share(waiting), []
+                if share is not None:
+                    found = [(int(i), int(m), int(n), *near) for i, m, n, q in zip(ids, names, asks, grid.T, strict=True) for near in share.best(i, m, q, k)]
+                    columns = list(zip(*found, strict=True)) or [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "name", "asks", "id", "score", "copies"])
+
+    met = offered.unionByName(asked).repartition(spread, "share").sortWithinPartitions("share", "asking")
+    near = copied(met.mapInArrow(probe, "query_id long, name long, asks long, id long, score long, copies long"), "copies", "copy")
     order = Window.partitionBy("query_id", "name").orderBy(F.col("score").desc(), "id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "name", "rank", "id", "score")
-    times = asked.select(F.col("id").alias("query_id"), "name", "asks")
-    answers = copied(ranked.join(times, ["query_id", "name"]), "asks", "copy")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    answers = copied(ranked.select("query_id", "rank", "id", "score", "asks"), "asks", "again")
     return answers.select("query_id", "rank", F.col("id").alias(key), "score")
 
 

@@ -496,6 +496,16 @@ def test_top_k_is_exact(spark):
     assert topk.exact_top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_joins_and_broadcasts_nothing(spark):
+    """Candidates are dealt out once and queries come to them in packs, so that no group of queries has to fit a row or the driver."""
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=12)]) for i in range(300)], "vec_id long, embedding array<float>")
+    found = topk.exact_top_k(frame, F.col("vec_id") % 2 == 0, block=16, queries=8, spread=2, share_bytes=1 << 12)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert bag(found.collect()) == bag(topk.exact_top_k(frame, F.col("vec_id") % 2 == 0).collect())
+    assert found.count() == 750
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, j) for j in range(1001, 1100)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

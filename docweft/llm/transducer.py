@@ -81,6 +81,69 @@ class Vocabulary(NamedTuple):
         return [s for s, out in zip(symbols, gone) if not out]
 
 
+class Merger:
+    """The same merges for many words side by side: a row a word, each round merges one pair of every row that has one."""
+
+    WIDTHS = (8, 16, 32)  #: words are sorted into rows of these sizes; longer ones are merged one by one
+    PAD = (1 << SHIFT) - 1
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.encode, self.bytes_ = vocabulary.encode, np.array([*vocabulary.bytes_, self.PAD], np.int64)
+        pairs = np.fromiter(vocabulary.merges.keys(), np.int64, len(vocabulary.merges))
+        order = np.argsort(pairs)
+        self.none = len(pairs) << SHIFT
+        self.pairs = np.append(pairs[order], -1)
+        self.merged = np.append(np.fromiter(vocabulary.merges.values(), np.int64, len(pairs))[order], self.none)
+        self.of_bytes = self.found(self.bytes_[:, None], self.bytes_)
+
+    def found(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id of each pair, in one number; `none` for those that don't merge."""
+        pair = a << SHIFT | b
+        place = np.searchsorted(self.pairs[:-1], pair)
+        return np.where(self.pairs[place] == pair, self.merged[place], self.none)
+
+    def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and how many each has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        sizes, parts, least = np.zeros(len(words), np.int64), [], 0
+        for width in self.WIDTHS:
+            rows = np.flatnonzero((lengths > least) & (lengths <= width))
+            least = width
+            if len(rows):
+                letters = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width).astype(np.int64)
+                letters[np.arange(width) >= lengths[rows, None]] = 256
+                parts += self._rounds(rows, letters, sizes)
+        for i in np.flatnonzero(lengths > least):
+            ids = np.array(self.encode(words[i]), np.int64)
+            sizes[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        flat, begins = np.empty(sizes.sum(), np.int64), np.cumsum(sizes) - sizes
+        for rows, ids in parts:
+            flat[ragged_places(begins[rows], sizes[rows])] = ids
+        return flat, sizes
+
+    def _rounds(self, rows: np.ndarray, letters: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, ids) of those that are finished, round by round; their sizes are set."""
+        symbols, ranks = self.bytes_[letters], self.of_bytes[letters[:, :-1], letters[:, 1:]]
+        while len(rows):
+            going = (ranks < self.none).any(1)
+            done = symbols[~going]
+            real = done != self.PAD
+            sizes[rows[~going]] = real.sum(1)
+            yield rows[~going], done[real]
+            rows, symbols, ranks = rows[going], symbols[going], ranks[going]
+            if not len(rows):
+                break
+            each, width = np.arange(len(rows)), ranks.shape[1]
+            at = ranks.argmin(1)  # the leftmost of the lowest
+            symbols[each, at] = ranks[each, at] & self.PAD
+            stay = np.arange(width + 1) != at[:, None] + 1
+            symbols, ranks = symbols[stay].reshape(len(rows), width), ranks[np.arange(width) != at[:, None]].reshape(len(rows), width - 1)
+            for left in (at - 1, at):
+                some = np.flatnonzero((left >= 0) & (left < width - 1))
+                ranks[some, left[some]] = self.found(symbols[some, left[some]], symbols[some, left[some] + 1])
+
+
 def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     """The vocabulary at path, a .json file of a byte-level BPE whose pre-tokens are matches of pattern."""
     letters = byte_letters()
@@ -219,22 +282,25 @@ class WordIds(Words):
     def __init__(self, vocabulary: Vocabulary, known: Lexicon):
         super().__init__(vocabulary)
         self.of_piece.most = 250_000
-        self.encode, self.known, self.done = vocabulary.encode, known, 0
+        self.encode_all, self.known, self.done = Merger(vocabulary).encode_all, known, 0
         self.flat, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in one array, and by number each word's start and size in it."""
         words, known = list(islice(self, self.done, None)), self.known
-        places = known.places(pa.array([b"" if isinstance(w, int) else w.encode() for w in words], pa.binary()))
-        there = places >= 0
-        own = [[words[i]] if isinstance(words[i], int) else self.encode(words[i].encode()) for i in np.flatnonzero(~there)]
+        raw = [b"" if isinstance(w, int) else w.encode() for w in words]
+        places = known.places(pa.array(raw, pa.binary()))
+        there, special = places >= 0, np.array([i for i, w in enumerate(words) if isinstance(w, int)], np.int64)
+        own, own_sizes = self.encode_all([raw[i] for i in np.flatnonzero(~there)])
         sizes = np.empty(len(words), np.int64)
         sizes[there] = known.starts[places[there] + 1] - known.starts[places[there]]
-        sizes[~there] = [len(o) for o in own]
+        sizes[~there] = own_sizes
+        sizes[special] = 1
         flat = np.empty(sizes.sum(), "<u4")
         begins = np.cumsum(sizes) - sizes
         flat[ragged_places(begins[there], sizes[there])] = known.ids[ragged_places(known.starts[places[there]], sizes[there])]
-        flat[ragged_places(begins[~there], sizes[~there])] = np.fromiter(chain.from_iterable(own), np.int64)
+        flat[ragged_places(begins[~there], own_sizes)] = own
+        flat[begins[special]] = [words[i] for i in special]
         self.begins, self.sizes = np.concatenate([self.begins, begins + len(self.flat)]), np.concatenate([self.sizes, sizes])
         self.flat, self.done = np.concatenate([self.flat, flat]), len(self)
         return self.flat, self.begins, self.sizes

@@ -195,6 +195,15 @@ def test_long_words_merge_as_short_ones(vocabulary):
         assert vocabulary.encode(word.encode()) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_words_merged_side_by_side_are_the_ones_merged_alone(vocabulary):
+    tokens = list(vocabulary.ids)
+    words = [b"".join(RNG.choices(tokens, k=RNG.randint(1, 4))) for _ in range(500)] + [b"a" * n for n in range(120)] + [bytes(RNG.randrange(256) for _ in range(n)) for n in range(50)]
+    flat, sizes = transducer.Merger(vocabulary).encode_all(words)
+    alone = [vocabulary.encode(w) for w in words]
+    assert sizes.tolist() == [len(a) for a in alone] and flat.tolist() == [i for a in alone for i in a]
+    assert [len(x) for x in transducer.Merger(vocabulary).encode_all([])] == [0, 0]
+
+
 def test_decoding_of_any_ids_is_the_librarys(spark, vocabulary):
     from tokenizers import Tokenizer
 

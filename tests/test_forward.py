@@ -5,6 +5,7 @@ import json
 import pytest
 
 from docweft.operators import diagnostics, forward
+from docweft.plans.session import kept_in_place as saved
 from docweft.sources.nodes import flatten
 
 
@@ -283,3 +284,71 @@ def test_span_warnings(spark):
     assert got == {
         ("t", "table-continuation-attributes-dropped", 1, 2), ("t", "table-colspan-origin-missing", 2, 1), ("t", "table-rowspan-clipped", 2, 2), ("u", "table-rowspan-origin-missing", 1, 1),
     }
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_what_is_saved_is_packed(spark, tmp_path):
+    """A conversion keeps its nodes several times: a few bytes for each, as columns, and not whole rows."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    context.setCheckpointDir(f"file://{tmp_path}")
+    try:
+        rows = [row(*[[para(t(str(i + j))), para(t("x"))] for j in range(20)]) for i in range(100)]
+        docs = [(f"d{i}", json.dumps({"type": "document", "children": [box(*rows)]})) for i in range(4)]
+        nodes, _ = flatten(spark.createDataFrame(docs, "doc string, ast string"))
+        assert {r.json[:30] for r in forward.convert(nodes).select("json").collect()} == {'{"pandoc-api-version":[1,23,1]'}
+        size = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+        assert size < 150 * nodes.count()
+    finally:
+        if folder:
+            context.setCheckpointDir(folder)
+
+
+def test_pieces_join_nothing_that_is_not_there(spark):
+    rows = [{"type": "table_row", "cells": [cell("a"), cell("b")]}]
+    nodes, _ = flatten(spark.createDataFrame([("t", json.dumps({"type": "document", "children": [{"type": "table", "rows": rows}]}))], "doc string, ast string"))
+    made = forward.pieces(saved(forward.resolved(nodes)[0]))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_notes_in_notes_take_no_rounds(spark, ring):
+    """As many jobs for notes 30 deep as for notes 3 deep, in a chain or in a ring."""
+
+    def documents(depth):
+        ref = lambda i: {"type": "footnote_ref", "id": str(i)}
+        notes = [note(str(i), para(t(f"n{i}"), *([ref((i + 1) % depth)] if ring or i + 1 < depth else []))) for i in range(depth)]
+        return spark.createDataFrame([("d", json.dumps({"type": "document", "children": [para(ref(0)), *notes]}))], "doc string, ast string")
+
+    nodes = {depth: flatten(documents(depth))[0] for depth in (3, 30)}
+    found, jobs = {}, {}
+    for depth, rows in nodes.items():
+        jobs[depth] = jobs_of(spark, f"notes {depth} {ring}", lambda rows=rows, depth=depth: found.update({depth: forward.convert(rows).collect()[0].json}))
+    assert jobs[3] == jobs[30]
+    for depth, text in found.items():
+        assert text.count('"Note"') == (1 if ring else depth) and text.count("[^") == int(ring)
+
+
+def test_circles():
+    from docweft.operators.resolve import circles
+
+    assert sorted(circles([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (6, 1), (7, 8)])) == [(1, 2), (2, 3), (3, 1), (4, 5), (5, 4), (6, 6)]
+    deep = [(i, i + 1) for i in range(50_000)]
+    assert circles(deep) == [] and circles([*deep, (50_000, 0)]) == [*deep, (50_000, 0)]
+
+
+def test_each_node_is_read_once():
+    from docweft.sources import nodes as N
+
+    asked = []
+    tree = {"type": "document", "children": [box(row([para(t("a"))], [para(t("b")), para(t("c"))]))]}
+    rows = N.tree_rows(tree, lambda node, kind: asked.append(kind) or N.exchange_parts(node, kind))
+    assert len(asked) == len(rows) == 13
